@@ -29,19 +29,21 @@ def _wanted() -> Column:
     return F.greatest(share, F.coalesce("min_rows", F.lit(0)).cast("long"))
 
 
-def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
+def _join(a: DataFrame, b: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``columns``, where null meets null; they appear once, from ``a``."""
     same = F.lit(True)
     for c in columns:
-        same = same & a[c].eqNullSafe(b[c])
-    return same
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    rest = [F.col(f"b.{c}") for c in b.columns if c not in columns]
+    return a.alias("a").join(b.alias("b"), same, how).select("a.*", *rest)
 
 
 def supply(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Each category of ``targets`` with ``wanted``, ``have`` and ``deficit``."""
     plans = targets.groupBy("plan_id", *CATEGORY).agg(F.max(_wanted()).alias("wanted"))
     have = rows.groupBy(*CATEGORY).agg(F.count(F.lit(1)).alias("have"))
-    joined = plans.join(have, _same(plans, have, CATEGORY), "left")
-    return joined.select("plan_id", *[plans[c] for c in CATEGORY], "wanted", F.coalesce("have", F.lit(0)).alias("have")).withColumn("deficit", F.greatest(F.col("wanted") - F.col("have"), F.lit(0)))
+    joined = _join(plans, have, CATEGORY, "left")
+    return joined.withColumn("have", F.coalesce("have", F.lit(0))).withColumn("deficit", F.greatest(F.col("wanted") - F.col("have"), F.lit(0)))
 
 
 def unmet(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def sample(rows: DataFrame, targets: DataFrame, id_col: str, seed: int = 7, over
     chance = F.least(F.lit(1.0), (want * over + 4 * F.sqrt(want.cast("double")) + 4) / F.greatest("have", F.lit(1)))
     plans = checked_broadcast(supply(rows, targets).where("wanted > 0 and have > 0").select("plan_id", *CATEGORY, want.alias("want"), chance.alias("chance")))
     slim = rows.select(F.col(id_col).cast("long").alias("id"), *CATEGORY)
-    hashed = slim.join(plans, _same(slim, plans, CATEGORY)).select("plan_id", "id", *[slim[c] for c in CATEGORY], "want", "chance")
+    hashed = _join(slim, plans, CATEGORY)
     hashed = hashed.withColumn("u", F.xxhash64("plan_id", "id", F.lit(seed)) / F.lit(2.0**64) + F.lit(0.5))
     key = ["plan_id", *CATEGORY]
     cell = F.least(F.floor(F.col("u") * CELLS), F.lit(CELLS - 1))
@@ -74,7 +76,7 @@ def sample(rows: DataFrame, targets: DataFrame, id_col: str, seed: int = 7, over
     counted = counted.withColumn("enough", F.sum("accepted").over(by) >= F.col("want")).withColumn("n", F.when(F.col("enough"), F.col("accepted")).otherwise(F.col("all")))
     cells = counted.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     cut = checked_broadcast(cells.where("before < want and before + n >= want").select(*key, "enough", F.col("cell").alias("cut"), (F.col("want") - F.col("before")).alias("left")))
-    taken = hashed.join(cut, _same(hashed, cut, key)).where((F.col("u") < F.col("chance")) | ~F.col("enough")).select(*[hashed[c] for c in key], "id", "u", "cell", "cut", "left")
+    taken = _join(hashed, cut, key).where((F.col("u") < F.col("chance")) | ~F.col("enough"))
     below = taken.where("cell < cut")
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("u", "id"))
     edge = taken.where("cell = cut").withColumn("rank", rank).where("rank <= left")
