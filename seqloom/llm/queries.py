@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.llm.bpe import encode_corpus
 from seqloom.llm.copies import Copies
+from seqloom.llm.crosssplit import CrossSplit, found_pairs, report, split_side
+from seqloom.llm.leakage import cleaned, leaks
 from seqloom.llm.nearcopies import NearCopies
 from seqloom.llm.sampling import sample, supply, unmet
 from seqloom.llm.terms import marked_terms
@@ -46,7 +49,31 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return NearCopies(table(spark, d, "sequences"), "seq_id", "text").pairs()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_terms, p3_found, p3_sample, p3_supply, p4_found)}
+def _across(spark: SparkSession, d: str) -> CrossSplit:
+    return CrossSplit(table(spark, d, "sequences"), "seq_id", "text", split_side(F.col("split")), 0.0, jaccard=0.8)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return found_pairs(_across(spark, d).overlaps())
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return report(_across(spark, d).overlaps(), table(spark, d, "sequences"), "seq_id")
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "item_id").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    return cleaned(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "item_id").withColumnRenamed("doc", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_terms, p3_found, p3_sample, p3_supply, p4_found, p6_found, p6_report, p7_ids, p8_found, p8_clean)}
 
 _WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
 _TERMS = f"""
@@ -63,7 +90,12 @@ _SUPPLY = """
         FROM label_targets GROUP BY ALL) t
   LEFT JOIN sequences s ON s.split IS NOT DISTINCT FROM t.split AND s.source IS NOT DISTINCT FROM t.source AND s.label IS NOT DISTINCT FROM t.label
   GROUP BY t.plan_id, t.split, t.source, t.label, t.wanted"""
+_GRAMS = """(SELECT {id}, unnest(list_transform(range(1, greatest(len(w) - 8, 1)), lambda i: array_to_string(w[i:i + 9], ' '))) AS g
+  FROM (SELECT {id}, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: lower(x)) AS w FROM {table}))"""
+_P8 = f"SELECT DISTINCT a.doc_id, b.item_id FROM {_GRAMS.format(id='doc_id', table='documents')} a JOIN {_GRAMS.format(id='item_id', table='eval_items')} b ON a.g = b.g"
+
 SQL: dict[str, str] = {
+    "p8_found": _P8,
     "p2_terms": _TERMS,
     "p2_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p3_supply": _SUPPLY,
