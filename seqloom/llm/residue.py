@@ -1,0 +1,218 @@
+"""Detectors of problem 9: template residue, filler, error pages, script notices.
+
+A text is normalised (compatibility forms, invisible characters, look-alike letters),
+code and quotations are set aside as mentions, and what stands in the text's own voice
+is searched: placeholders anywhere, filler, errors and notices where a whole line or
+sentence consists of them. A sentence that talks about such things has other words
+around them and doesn't match.
+"""
+
+from __future__ import annotations
+
+import re
+import sys
+import unicodedata
+
+#: Letters of other scripts that look like Latin ones.
+_ALIKE = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТХІЈЅ", "aeopcyxijsdhqwABEKMHOPCTXIJS"))
+_CLEAN = {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"} | {ord(a): b for a, b in _ALIKE.items()}
+#: Strings that look like special tokens of tokenizers; ordinary text here.
+_SPECIAL = re.compile(r"<\|?/?(?:s|unk|pad|mask|bos|eos|sep|cls|endoftext|startoftext|im_start|im_end|end|system|user|assistant|fim_\w+)\|>|</?(?:s|unk|pad|mask|bos|eos)>|\[/?(?:SEP|CLS|PAD|UNK|MASK|BOS|EOS|INST)\]")
+_FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
+_MENTION = re.compile(r"`[^`\n]{1,200}`|\"[^\"\n“”]{1,90}\"|[“„”][^“”„\"\n]{1,90}[”“\"]|「[^」\n]{1,60}」|『[^』\n]{1,60}』|« [^»\n]{1,90} »")
+
+NAME = r"[^\W\d_][\w.]{0,30}"
+#: Unfilled placeholders in the notations of template languages and of hand-written forms.
+PLACEHOLDERS = [
+    r"\{\{\{?\s*" + NAME + r"\s*\}?\}\}",
+    r"[$#]\{\s*" + NAME + r"\s*\}",
+    r"\{\$" + NAME + r"\}",
+    r"(?<![\w$#{])\{(?:" + NAME + r"|\d)\}(?!\})",
+    r"\{%-?\s*" + NAME + r"\s*-?%\}",
+    r"<%[=-]?\s*" + NAME + r"\s*%>",
+    r"(?<![\w$])\$" + NAME + r"\$(?!\w)",
+    r"(?<![\w%])%" + NAME + r"%(?!\w)",
+    r"@@" + NAME + r"@@",
+    r"(?<!\w)__[^\W_](?:\w|\.)*?__(?!\w)",
+    r"##" + NAME + r"##",
+    r"\*\|" + NAME + r"\|\*",
+    r"«" + NAME + r"»",
+    r"(?<!\w):" + NAME + r":(?!\w)",
+    r"(?<!\w)&(?!(?:amp|lt|gt|nbsp|quot|apos|copy|reg|hellip|mdash|ndash|middot|raquo|laquo|bull|[aeiouAEIOU](?:uml|acute|grave|circ)|szlig|ntilde|ccedil);)[^\W\d_][\w.]{1,30};",
+    r"\bXXX " + NAME + r" XXX\b",
+    r"\[\[" + NAME + r"\]\]",
+    r"(?<!\w)\[" + NAME + r"\](?![(\w])",
+    r"\[(?:insert|your|enter|add|fill in|please|insertar|inserte|insérer|insérez|bitte|hier)\s[^\]\n]{1,40}\]",
+    r"\[[^\]\n]{1,40}\s(?:to be added|to be filled|here|einfügen|eintragen|hier|aquí|ici)\]",
+    r"\(" + NAME + r" TBD\)",
+    r"<(?:insert|your|enter) [^>\n]{1,40}>",
+    r"<[^<>\n]{1,40} (?:here|hier|aquí|ici)>",
+    r"<(?!/|(?:html|head|title|body|h[1-6]|hr|br|p|div|span|a|b|i|u|em|strong|ul|ol|li|table|tr|td|th|pre|code|noscript|script|style|meta|link|img|center|address|small|blockquote)\b(?![\w.]*_))" + NAME + r">",
+    r"[\[【][^\]】\n]{0,4}(?:请输入|此处填写|请填写|待填写|填写)[^\]】\n]{0,20}[\]】]",
+]
+#: Marks that a program or author leaves where a value is missing.
+MARKS = [
+    r"#(?:REF|VALUE|NAME|DIV/0|NUM|NULL)[!?]|#N/A\b",
+    r"\[object Object\]",
+    r"(?<![\w%])%[sd](?!\w)",
+    r"(?<=[^\W_][ ,])_{4,}(?=[ ,.;:?!])",
+    r"(?:(?<=\s)|(?<=[一-鿿]))\?\?\?(?=[\s,;，]|[一-鿿])",
+    r"\bXX(?:\.XX)?\.XXXX\b",
+    r"(?<![\w.\"'])(?:undefined|UNDEFINED|null|NULL|[Nn]a[Nn]|NAN|TBD|tbd|TODO|FIXME)(?![\w\"'(])",
+]
+_PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS), re.I)
+_MARK = re.compile("|".join(f"(?:{p})" for p in MARKS))
+#: Words of sentences that discuss a mark as such.
+_ABOUT = re.compile(r"\b(?:the word|that word|words?|turned|instead of|spelled|literal|field|column|means|marks|stands for|called|named)\b", re.I)
+
+HTTP = r"(?:bad request|unauthorized|payment required|forbidden|(?:page |file )?not found|method not allowed|request time-?out|conflict|gone|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out)"
+SCRIPT = r"(?:java ?script|js|(?:client-side )?scripts?|scripting|cookies)"
+#: Whole sentences or lines (in lower case, without final punctuation).
+FILLER = [
+    r".*\b(?:lorem|ipsum)\b(?!.*\b(?:was|were|over|replaced|we|the)\b).*",
+    r"(?:\w+ )?(?:example|sample|dummy|placeholder|demo)? ?paragraph,? replace me",
+    r"(?:please )?(?:add|enter|insert|write|type|put|tell us|say) (?:a |an |your |some |the )?(?:short )?(?:description|text|title|summary|content|something|words?|sentence|paragraph)\b.*",
+    r"(?:more )?(?:content|text|details?|description|page) (?:is )?(?:coming|to come|follows)(?: here)?(?: soon)?",
+    r"(?:coming soon|under construction|work in progress|to be (?:written|added|done|completed))",
+    r"this is (?:a |an |some )?(?:sample|dummy|example|placeholder|filler|test) (?:text|paragraph|content|page)\b.*",
+    r"(?:(?:your|some|the|more|sample|dummy|example|placeholder|body)? ?(?:text|content|title|description)s? (?:goes|comes|here|will (?:go|appear))(?: here)?[ .!]*)+",
+    r"(?:dummy|sample|placeholder|filler|example) (?:copy|text|content) (?:for|of|to) (?:the )?(?:layout|design|preview|testing|section).*",
+    r"(?:dummy|sample|placeholder|filler|example) (?:copy|text|content)",
+    r"(?:x{2,}[\s.,]*)+",
+    r"([^\s]{2,6}[;,.]?)(?: \1){4,}",
+    r"(?:asdf|qwer|jkl|hjkl|qwertz|qwerty|wasd|yxcv|zxcv|fghj|uiop)\w*(?:[;,. ]+(?:asdf|qwer|jkl|hjkl|qwert[zy]|fghj|zxcv|yxcv|uiop)\w*)+",
+    r"(?:示例|占位|测试|样例)(?:文字|文本|内容|段落).{0,12}",
+    r"(?:此处|这里|请在此|在此)(?:填写|输入|放置|添加|插入|填入).{0,12}",
+    r"(?:内容|正文|页面|描述)?(?:即将上线|敬请期待|建设中|待补充|即将推出)",
+    r"hier (?:steht|kommt|folgt|erscheint) (?:später |bald |noch |der |ihr |ein )*\w*text\w*.*",
+    r"(?:blind|platzhalter|beispiel|füll|muster)text(?: (?:für|zum|im) .{1,30})?(?:,? bitte .*)?",
+    r"(?:inhalt|text|beschreibung|seite)\w* (?:folgt|kommt)(?: in kürze| bald)?|in kürze verfügbar",
+    r"aquí (?:va|iría|irá|viene) (?:el |su |tu |un )?(?:texto|contenido|título|descripción).*",
+    r"texto de (?:relleno|ejemplo|muestra|prueba)(?: .{1,40})?",
+    r"(?:escriba|escribe|añada|agregue|introduzca|inserte) (?:aquí )?(?:su|el|un|una|tu|algo) .{1,40}|(?:contenido )?próximamente",
+    r"(?:votre|le|ton|placez votre|insérez votre|saisissez votre) texte (?:ici|va ici|.{0,20}ici).*",
+    r"(?:faux[- ]texte|texte (?:de remplissage|factice|d'exemple|d'essai|provisoire))(?: .{1,40})?",
+    r"(?:ajoutez|saisissez|écrivez|insérez) (?:ici )?(?:votre|une|un|le) .{1,40}|(?:contenu )?(?:à venir|bientôt disponible)",
+]
+ERRORS = [
+    r"(?:http[ /]?[\d.]* ?)?(?:error|status|code|fehler|erreur|错误)?[ :#-]*[45]\d\d ?[-–—:|,]? ?" + HTTP,
+    r"(?:http|error|fehler|erreur|código|错误|status)[ :#]*[45]\d\d",
+    HTTP + r"[ :]*\(?[45]\d\d\)?",
+    r"(?:error|http error) ?:? ?" + HTTP,
+    r"oops!?(?: .{0,40})?",
+    r"(?:oops,? )?(?:that|this|the) (?:page|transfer|resource|file|document|report|address) (?:you (?:requested|asked for|are looking for|were looking for) )?(?:is gone|is missing|was not found|could ?n[o']t be (?:displayed|found|loaded)|can(?:no|')t be (?:displayed|found|loaded)|does not exist.*|doesn't exist.*|no longer exists.*|has (?:been )?(?:moved|removed).*|was (?:moved|removed).*)",
+    r"we (?:can't|cannot|couldn't|could not) find (?:what|the page|that page|the transfer).*",
+    r"this (?:site|page|service|server) is (?:down|offline|unavailable|closed)(?: for (?:maintenance|repairs?))?(?: until.*)?",
+    r"(?:your )?session (?:has )?expired(?:,? (?:please )?(?:log|sign) in again)?",
+    r"(?:please )?(?:log|sign) in again",
+    r"(?:something|an error) (?:broke|went wrong|failed|occurred) (?:on|at|in|with) (?:our|the) (?:side|end|server).*|something went wrong.*",
+    r"(?:please )?try again (?:later|in a (?:few|couple of) minutes?)",
+    r"the (?:origin|server|upstream|backend|gateway|host) (?:did not|didn't|does not|is not) (?:answer|respond|reply|responding)(?:ing)?(?: in time)?",
+    r"no (?:upstream|backend|server|origin) is (?:healthy|available|reachable)",
+    r"(?:the )?(?:connection|link) to the (?:database|server|backend) (?:was|is|has been) (?:lost|closed|refused|reset)",
+    r"slow down and (?:retry|try again).*",
+    r"you (?:have )?(?:sent|made|issued) too many (?:queries|requests|calls).*|too many (?:queries|requests).{0,30}",
+    r"access (?:to (?:this|the) (?:resource|page|site|area) )?(?:is |was )?(?:denied|forbidden|refused)",
+    r"you (?:do not|don't|are not) (?:have )?(?:permission|allowed|authorized) .{1,40}",
+    r"(?:php )?(?:warning|fatal error|notice|parse error)\b ?:.*",
+    r".*\bdoes not exist in /\S+.*",
+    r"traceback \(most recent call last\).*",
+    r"(?:拒绝访问|访问被拒绝|禁止访问|无权访问).{0,12}",
+    r"(?:服务|系统|网站|页面|网页|服务器)(?:暂时|目前|暂|当前)?(?:不可用|无法访问|无法显示|不存在|未找到|找不到|维护中|出错|内部错误|错误|繁忙|无响应).{0,14}",
+    r"(?:未找到|找不到|无法找到|无法显示|您访问的|您请求的|抱歉).{0,3}(?:页面|网页|内容|资源).{0,14}",
+    r"(?:网关超时|请求超时|连接超时|超时|错误网关|内部服务器错误|服务器内部错误|请求过多|数据库连接).{0,14}",
+    r"错误 ?[(（]?[45]\d\d[)）]?.{0,8}",
+    r"(?:会话已过期|登录已过期).{0,12}",
+    r"der (?:dienst|server|inhalt) (?:ist|steht) (?:zurzeit|derzeit|momentan|vorübergehend)? ?(?:nicht )?(?:erreichbar|verfügbar|zur verfügung).*",
+    r"(?:zeitüberschreitung|zugriff verweigert|(?:die )?(?:seite|datei)(?: wurde)? nicht gefunden|interner serverfehler|zu viele anfragen|sitzung abgelaufen|ein fehler ist aufgetreten)\b.*",
+    r"(?:die|diese) (?:seite|verbindung) (?:konnte nicht|kann nicht|existiert nicht|ist nicht|wurde nicht).*",
+    r"(?:tiempo de espera agotado|acceso denegado|página no encontrada|error interno del servidor|demasiadas solicitudes|la sesión ha (?:caducado|expirado)|sesión caducada)\b.*",
+    r"(?:el|la|este|esta) (?:servicio|servidor|página|sitio)(?: que busca| solicitada)? (?:no (?:está disponible|existe|se encuentra|se puede mostrar|responde)|está fuera de servicio).*",
+    r"(?:accès refusé|page (?:introuvable|non trouvée)|délai (?:d'attente )?(?:dépassé|expiré)|erreur interne du serveur|trop de requêtes|session expirée)\b.*",
+    r"(?:le|la|ce|cette) (?:service|serveur|page|site) (?:est (?:momentanément |temporairement |actuellement )?(?:indisponible|introuvable)|n'existe (?:pas|plus)|n'est pas (?:disponible|accessible)|ne répond pas|demandée? .*).*",
+]
+NOTICES = [
+    r"<noscript>.*",
+    r"checking your browser.*",
+    r"if nothing appears,? your browser .*",
+    r"your browser (?:is|does|has|blocks|doesn't|can't).*",
+    r"(?:kindly |please |you (?:must|need to|have to|should) )?(?:allow|enable|activate|turn on|switch on) (?:it|" + SCRIPT + r")\b.*",
+    r"(?:reload|refresh|continue) (?:the page |this page )?(?:after|once|when) you (?:allow|enable|have enabled|allowed) .*",
+    r"(?:kindly |please )?(?:upgrade|update) your browser.*",
+    SCRIPT + r"(?:,? and " + SCRIPT + r")? (?:is|are|must be|has to be|have to be|needs to be|seems?) (?:\w+ ){0,2}(?:needed|required|disabled|off|enabled|blocked|turned off|switched off|necessary|missing)(?: .{0,40})?",
+    r"(?:this|the|our) (?:\w+ )?(?:page|site|app|explorer|website|view|dashboard|wallet|portal|console|panel|form) (?:needs?|requires?|works? only with|(?:is|stays|remains) (?:blank|empty) without|(?:does not|doesn't|won't|will not|cannot|can't) (?:work|load|run|open|start|be shown|display) without) .{0,20}" + SCRIPT,
+    r"(?:some|many|most|these|other) parts stay hidden.*",
+    r"(?:needs|requires) (?:\w+ )?" + SCRIPT,
+    r"(?:需要|请|必须)(?:先)?(?:开启|启用|打开|允许|激活).{0,3}(?:脚本|javascript|js|cookie).{0,20}",
+    r"(?:本|您的|当前|该)?(?:浏览器|页面|网页).{0,6}(?:已禁用|禁用了|不支持|屏蔽|阻止|过旧|版本过低|需要).{0,20}",
+    r"(?:ihr|dein|der) browser (?:blockiert|unterstützt|ist|lässt|erlaubt|akzeptiert).*",
+    r"(?:bitte )?(?:aktivieren|erlauben|schalten) sie .*(?:skript|script|browser).*",
+    r"laden sie die seite (?:danach|anschließend|dann|bitte)? ?neu",
+    r"ohne \w*(?:skript|script)\w* (?:kann|können|funktioniert|lässt|wird|bleibt) .*",
+    r"(?:active|activez|activa|habilite|permita|autorisez|veuillez activer|por favor,? active) .{0,12}(?:java ?script|scripts?|js)\b.*",
+    r"(?:su|tu|votre|ton|le|el) (?:navegador|navigateur) (?:bloquea|bloque|no |ne |n'|tiene|a |est|es ).*(?:scripts?|js|java ?script|antiguo|ancien|obsol).*",
+    r"(?:el|la|le|l'|esta|este|cette|ce) ?[\w' ]{2,25} (?:no|ne) .{1,20} (?:sin|sans) .{0,12}(?:scripts?|java ?script|js)",
+    r"(?:rechargez|recargue|recharge) (?:ensuite |después |luego )?(?:la|cette|esta) (?:page|página).*",
+]
+_ANCHORED = {k: re.compile("|".join(f"(?:{p})" for p in v).replace(r"\1", r"(?P=again)").replace(r"([^\s]{2,6}[;,.]?)", r"(?P<again>[^\s]{2,6}[;,.]?)")) for k, v in (("filler", FILLER), ("error", ERRORS), ("notice", NOTICES))}
+_CODE = re.compile(r"(?:(?:http|error|fehler|erreur|código|错误) ?[:#-]? ?[45]\d\d|[45]\d\d (?=" + HTTP + r"))(?: ?[-–—:] ?)? ?(?:" + HTTP + r")?[ .!:]*(?=\S)|(?:网关超时|zeitüberschreitung|tiempo de espera agotado|délai dépassé|" + HTTP + r") ?\([45]\d\d\)[ .!:]*(?=\S)")
+_REFERENCE = re.compile(r"[ .]*\(?(?:request|ref|reference|trace|incident|ray) id ?:.*$")
+_WHOLE = re.compile(r"<html>.*?<title>\s*(?:[45]\d\d)?\s*(?:" + HTTP + r"|error)|[{][\"“”]?(?:error|errors|fault|status)[\"“”]?\s*:\s*(?:[{]|[45]\d\d|[\"“”])[^\n]{0,200}(?:" + HTTP + r"|error)", re.I)
+#: First lines of what a failed program prints.
+_TRACE = re.compile(r"^[>\s]*(?:(?:unhandled|uncaught)\s(?:exception\s*:?\s*)?[\w.]+|[\w.]+\.\w*(?:error|exception|failure))\s*:|^[>\s]*(?:php )?(?:warning|fatal error|parse error|notice)\s*:.* (?:in|at) /\S+|^[>\s]*traceback \(most recent call last\)", re.I | re.M)
+_SENTENCE = re.compile(r"\n+|(?<=[.!?。！？])\s+|(?<=[。！？])")
+#: What may stand before a sentence: list marks, quoting, times, names of chat speakers.
+_LEAD = re.compile(r"^(?:[>*#•·–—-]+\s*|\d{1,3}[.)]\s+|[A-Z]-\d+\s+|\[\d{1,2}:\d\d(?::\d\d)?\]\s*(?:[\w@]{2,30}:\s*)?)+")
+_PAUSE = " \t.!?。！？…:：;；,，*_|\"'“”„()[]»«"
+
+
+def normal(text: str) -> str:
+    """The text in compatibility form, without invisible characters, look-alike letters
+    and strings that look like special tokens."""
+    return _SPECIAL.sub("", unicodedata.normalize("NFKC", text).translate(_CLEAN).replace("\r\n", "\n").replace("\r", "\n")).replace("\xa0", " ")
+
+
+def own_voice(text: str) -> str:
+    """The normalised text with code and quotations replaced by a mark of a mention."""
+    return _MENTION.sub(" \x00 ", _FENCE.sub("\n", text))
+
+
+def sentences(text: str) -> list[str]:
+    """Sentences and lines without list marks, in lower case."""
+    found = []
+    for s in _SENTENCE.split(text):
+        s = _LEAD.sub("", s.strip()).strip(_PAUSE)
+        if s:
+            found.append(re.sub(r"\s+", " ", s.lower()))
+    return found
+
+
+def evidence(text: str | None) -> dict[str, int]:
+    """Number of hits of each kind of residue in the text's own voice."""
+    if not text:
+        return {}
+    plain = normal(text)
+    found: dict[str, int] = {}
+    if n := len(_WHOLE.findall(_FENCE.sub("\n", plain))):
+        found["error"] = n
+    own = own_voice(plain)
+    if n := len(_TRACE.findall(own)):
+        found["error"] = found.get("error", 0) + n
+    if n := sum(1 for _ in _PLACEHOLDER.finditer(own)):
+        found["placeholder"] = n
+    for m in _MARK.finditer(own):
+        start = max(own.rfind(c, 0, m.start()) for c in "\n.。!！") + 1
+        stop = min((i for c in "\n.。!！" if (i := own.find(c, m.end())) >= 0), default=len(own))
+        if not _ABOUT.search(own[start:stop]):
+            found["mark"] = found.get("mark", 0) + 1
+    for s in sentences(own):
+        if "\x00" in s or len(s) > 400:
+            continue
+        rest = _REFERENCE.sub("", s)  # a status line may stand before the message, a reference after it
+        while head := _CODE.match(rest):
+            rest = rest[head.end() :]
+        for kind, pattern in _ANCHORED.items():
+            if pattern.fullmatch(s) or rest and rest != s and pattern.fullmatch(rest):
+                found[kind] = found.get(kind, 0) + 1
+                break
+    return found
