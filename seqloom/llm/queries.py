@@ -13,7 +13,7 @@ from seqloom.llm.crosssplit import CrossSplit, found_pairs, report, split_side
 from seqloom.llm.leakage import cleaned, leaks
 from seqloom.llm.nearcopies import NearCopies
 from seqloom.llm.sampling import sample, supply, unmet
-from seqloom.llm.templates import flagged
+from seqloom.llm.templates import residue, without_residue
 from seqloom.llm.terms import marked_terms
 from seqloom.sources.tables import table
 
@@ -74,16 +74,15 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return cleaned(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "item_id").withColumnRenamed("doc", "doc_id")
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return flagged(table(spark, d, "documents"), "doc_id", "text", "source", ("bridge", "doc_kind")).withColumnRenamed("id", "doc_id")
+SLUG = ("bridge", "doc_kind")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d).where("residue").select("doc_id").distinct()
+    return residue(table(spark, d, "documents"), "doc_id", "text", "source", SLUG).select(F.col("id").alias("doc_id")).distinct()
 
 
 def p9_clean(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d).where("not residue").select("doc_id", "text")
+    return without_residue(table(spark, d, "documents"), "doc_id", "text", "source", SLUG).withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_terms, p3_found, p3_sample, p3_supply, p4_found, p6_found, p6_report, p7_ids, p8_found, p8_clean, p9_found, p9_clean)}

@@ -60,8 +60,8 @@ MARKS = [
     r"\bXX(?:\.XX)?\.XXXX\b",
     r"(?<![\w.\"'])(?:undefined|UNDEFINED|null|NULL|[Nn]a[Nn]|NAN|TBD|tbd|TODO|FIXME)(?![\w\"'(])",
 ]
-_PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS), re.I)
-_MARK = re.compile("|".join(f"(?:{p})" for p in MARKS))
+_PLACEHOLDER = re.compile(r"(?=[{$#<%@_*«:&\[(【X])(?:" + "|".join(f"(?:{p})" for p in PLACEHOLDERS) + ")", re.I)
+_MARK = re.compile(r"(?=[#\[%_?XunUNTtF])(?:" + "|".join(f"(?:{p})" for p in MARKS) + ")")
 #: Words of sentences that discuss a mark as such.
 _ABOUT = re.compile(r"\b(?:the word|that word|words?|turned|instead of|spelled|literal|field|column|means|marks|stands for|called|named)\b", re.I)
 
@@ -69,7 +69,6 @@ HTTP = r"(?:bad request|unauthorized|payment required|forbidden|(?:page |file )?
 SCRIPT = r"(?:java ?script|js|(?:client-side )?scripts?|scripting|cookies)"
 #: Whole sentences or lines (in lower case, without final punctuation).
 FILLER = [
-    r".*\b(?:lorem|ipsum)\b(?!.*\b(?:was|were|over|replaced|we|the)\b).*",
     r"(?:\w+ )?(?:example|sample|dummy|placeholder|demo)? ?paragraph,? replace me",
     r"(?:please )?(?:add|enter|insert|write|type|put|tell us|say) (?:a |an |your |some |the )?(?:short )?(?:description|text|title|summary|content|something|words?|sentence|paragraph)\b.*",
     r"(?:more )?(?:content|text|details?|description|page) (?:is )?(?:coming|to come|follows)(?: here)?(?: soon)?",
@@ -155,6 +154,8 @@ NOTICES = [
     r"(?:rechargez|recargue|recharge) (?:ensuite |después |luego )?(?:la|cette|esta) (?:page|página).*",
 ]
 _ANCHORED = {k: re.compile("|".join(f"(?:{p})" for p in v).replace(r"\1", r"(?P=again)").replace(r"([^\s]{2,6}[;,.]?)", r"(?P<again>[^\s]{2,6}[;,.]?)")) for k, v in (("filler", FILLER), ("error", ERRORS), ("notice", NOTICES))}
+_LOREM = re.compile(r"\b(?:lorem|ipsum)\b")
+_LOREM_NAMED = re.compile(r"\b(?:was|were|over|replaced|we|the)\b")
 _CODE = re.compile(r"(?:(?:http|error|fehler|erreur|código|错误) ?[:#-]? ?[45]\d\d|[45]\d\d (?=" + HTTP + r"))(?: ?[-–—:] ?)? ?(?:" + HTTP + r")?[ .!:]*(?=\S)|(?:网关超时|zeitüberschreitung|tiempo de espera agotado|délai dépassé|" + HTTP + r") ?\([45]\d\d\)[ .!:]*(?=\S)")
 _REFERENCE = re.compile(r"[ .]*\(?(?:request|ref|reference|trace|incident|ray) id ?:.*$")
 _WHOLE = re.compile(r"<html>.*?<title>\s*(?:[45]\d\d)?\s*(?:" + HTTP + r"|error)|[{][\"“”]?(?:error|errors|fault|status)[\"“”]?\s*:\s*(?:[{]|[45]\d\d|[\"“”])[^\n]{0,200}(?:" + HTTP + r"|error)", re.I)
@@ -187,11 +188,8 @@ def sentences(text: str) -> list[str]:
     return found
 
 
-def evidence(text: str | None) -> dict[str, int]:
-    """Number of hits of each kind of residue in the text's own voice."""
-    if not text:
-        return {}
-    plain = normal(text)
+def evidence(plain: str) -> dict[str, int]:
+    """Number of hits of each kind of residue in the own voice of a normalised text."""
     found: dict[str, int] = {}
     if n := len(_WHOLE.findall(_FENCE.sub("\n", plain))):
         found["error"] = n
@@ -208,6 +206,9 @@ def evidence(text: str | None) -> dict[str, int]:
     for s in sentences(own):
         if "\x00" in s or len(s) > 400:
             continue
+        if _LOREM.search(s) and not _LOREM_NAMED.search(s):
+            found["filler"] = found.get("filler", 0) + 1
+            continue
         rest = _REFERENCE.sub("", s)  # a status line may stand before the message, a reference after it
         while head := _CODE.match(rest):
             rest = rest[head.end() :]

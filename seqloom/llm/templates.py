@@ -24,59 +24,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import residue as R
-from seqloom.plans.shared import checked_broadcast
+from seqloom.plans.shared import checked_broadcast, materialize, rows_up_to
 
-KINDS = ("placeholder", "mark", "filler", "error", "notice")
 #: Lines that carry no content of their own: navigation, references, waiting notes.
 _FURNITURE = re.compile(r"(?:loading|please wait|redirecting|one moment|just a moment|bitte warten|un momento|veuillez patienter|正在加载|加载中|请稍候)\b.*|(?:request|ref|ray|trace) id.*|[45]\d\d|skip to content|back|←.*|©.*|(?:[\w ]{1,20}[|·>›]){1,8}[\w ]{1,20}|menu(?:  ?\w+){0,8}", re.I)
 _TITLE = re.compile(r"#{1,6} .*|(?:subject|betreff|asunto|objet|主题) ?: .*|\S+ \d+(?:\.\d+)+", re.I)
 _WORD = re.compile(r"\w+")
 
 
-def parts(text: str) -> tuple[str, list[str]]:
-    """Title, empty if there is none, and the lines of the body."""
-    lines = [x.strip() for x in R.normal(text).split("\n") if x.strip()]
-    if lines and _TITLE.fullmatch(lines[0]):
-        return lines[0], lines[1:]
-    return "", lines
-
-
-def suspect(text: str, slug: str, least_words: int = 12) -> int | None:
-    """The shape of the body of a document that may be an empty shell, else None."""
-    title, body = parts(text)
+def suspect(plain: str, slug: str, least_words: int = 12) -> int | None:
+    """The shape of the body of a normalised text that may be an empty shell, else None."""
+    body = [x.strip() for x in plain.split("\n") if x.strip()]
+    title = body.pop(0) if body and _TITLE.fullmatch(body[0]) else ""
+    if not body or not all(_FURNITURE.fullmatch(x) for x in body):
+        return None
     terms = {w.lower() for w in _WORD.findall(f"{slug} {title}")}
     found = [w.lower() for x in body for w in _WORD.findall(x)]
-    if not found or len(set(found)) > least_words or terms & set(found) or not all(_FURNITURE.fullmatch(x) for x in body):
+    if not found or len(set(found)) > least_words or terms & set(found):
         return None
-    shape = " ".join(re.sub(r"\w*\d\w*", "9", w) for w in found)
-    return xxhash.xxh3_64_intdigest(shape) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(" ".join(re.sub(r"\w*\d\w*", "9", w) for w in found)) - (1 << 63)
+
+
+def _judge(text: str | None, slug: str) -> tuple[list[str], int | None]:
+    """The kinds of residue in a text, and its body shape if it is a suspect without any."""
+    if not text:
+        return [], None
+    plain = R.normal(text)
+    kinds = list(R.evidence(plain))
+    return kinds, None if kinds else suspect(plain, slug)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, host_col: str, slug_cols: tuple[str, ...]) -> DataFrame:
+    slug = F.concat_ws(" ", F.col(host_col).cast("string"), *[F.col(c).cast("string") for c in slug_cols])
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"), slug.alias("slug"))
 
 
 def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, slug_cols: tuple[str, ...] = ()) -> DataFrame:
-    """(id, text, host, hits, shape): the counts of the detectors' hits by kind, and the
-    body shape of suspects without any."""
+    """(id, host, kinds, shape) of every row, written once: the texts are judged in one
+    pass, and what follows reads these few bytes a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, slugs = b.column("text").to_pylist(), b.column("slug").to_pylist()
-            hits, shapes = [], []
-            for text, slug in zip(texts, slugs):
-                found = R.evidence(text)
-                hits.append(list(found.items()))
-                shapes.append(None if found or not text else suspect(text, slug))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), b.column("host"), pa.array(hits, pa.map_(pa.string(), pa.int32())), pa.array(shapes, pa.int64())], ["id", "text", "host", "hits", "shape"])
+            out = [_judge(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("slug").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), pa.array([k for k, _ in out], pa.list_(pa.string())), pa.array([x for _, x in out], pa.int64())], ["id", "host", "kinds", "shape"])
+
+    return materialize(_rows(docs, id_col, text_col, host_col, slug_cols).mapInArrow(run, "id long, host string, kinds array<string>, shape long"))
 
-    slug = F.concat_ws(" ", F.col(host_col).cast("string"), *[F.col(c).cast("string") for c in slug_cols])
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"), slug.alias("slug"))
-    return rows.mapInArrow(run, "id long, text string, host string, hits map<string,int>, shape long")
 
+def repeated_shapes(rows: DataFrame, least_docs: int = 3, least_hosts: int = 2) -> DataFrame:
+    """(shape) of the suspects' bodies that several documents of several hosts have."""
+    shapes = rows.where("shape is not null").groupBy("shape").agg(F.count(F.lit(1)).alias("docs"), F.approx_count_distinct(F.coalesce("host", F.lit(""))).alias("hosts"))
+    return shapes.where((F.col("docs") >= least_docs) & (F.col("hosts") >= least_hosts)).select("shape")
 
-def flagged(docs: DataFrame, id_col: str, text_col: str, host_col: str, slug_cols: tuple[str, ...] = (), least_docs: int = 3, least_hosts: int = 2) -> DataFrame:
-    """``judged`` with ``residue``: whether the document is residue."""
+
+def residue(docs: DataFrame, id_col: str, text_col: str, host_col: str, slug_cols: tuple[str, ...] = ()) -> DataFrame:
+    """(id, kinds) of the documents that are residue; kind ``shell`` is a repeated empty shell."""
     rows = judged(docs, id_col, text_col, host_col, slug_cols)
-    # Only suspects, which are few, meet the corpus counts of their shapes.
-    clear = rows.where("shape is null").withColumn("residue", F.size("hits") > 0)
-    shells = rows.where("shape is not null")
-    shapes = shells.groupBy("shape").agg(F.count(F.lit(1)).alias("docs"), F.approx_count_distinct(F.coalesce("host", F.lit(""))).alias("hosts"))
-    repeated = checked_broadcast(shapes.where((F.col("docs") >= least_docs) & (F.col("hosts") >= least_hosts)).select("shape", F.lit(True).alias("residue")))
-    return clear.unionByName(shells.join(repeated, "shape", "left").withColumn("residue", F.coalesce("residue", F.lit(False))))
+    shells = rows.where("shape is not null").join(checked_broadcast(repeated_shapes(rows)), "shape", "left_semi")
+    return rows.where("size(kinds) > 0").select("id", "kinds").unionByName(shells.select("id", F.array(F.lit("shell")).alias("kinds")))
+
+
+def without_residue(docs: DataFrame, id_col: str, text_col: str, host_col: str, slug_cols: tuple[str, ...] = (), most: int = 1_000_000) -> DataFrame:
+    """(id, text) of the other documents. A second pass judges each text where it lies,
+    so no text is shuffled; the repeated shapes it needs are broadcast up to ``most``,
+    beyond which the suspects meet them in a join."""
+    shapes = materialize(repeated_shapes(judged(docs, id_col, text_col, host_col, slug_cols)))
+    few = rows_up_to(shapes, most) <= most
+    known = docs.sparkSession.sparkContext.broadcast({r["shape"] for r in shapes.toLocalIterator()} if few else set())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [_judge(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("slug").to_pylist())]
+            keep = pa.array([not k and x not in known.value for k, x in out], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array([x for _, x in out], pa.int64())], ["id", "text", "shape"]).filter(keep)
+
+    kept = _rows(docs, id_col, text_col, host_col, slug_cols).mapInArrow(run, "id long, text string, shape long")
+    if few:
+        return kept.drop("shape")
+    suspects = kept.where("shape is not null").join(shapes, "shape", "left_anti")
+    return kept.where("shape is null").unionByName(suspects).drop("shape")
