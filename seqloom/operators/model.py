@@ -27,8 +27,8 @@ from seqloom.operators.metrics import binary_metrics
 log = logging.getLogger("seqloom")
 
 #: First and last legs of the text, for the optional flag.
-_FIRST = r"(?i)\\b(?:LOCK|SRC)\\b[^;|]*?\\b{}=(\\S+)"
-_LAST = r"(?i)\\b(?:UNLOCK|DST)\\b[^;|]*?\\b{}=(\\S+)"
+_FIRST = r"(?i)\\b(?:LOCK|SRC)\\b[^;|]*?\\b{}=([^\\s;|,]+)"
+_LAST = r"(?i)\\b(?:UNLOCK|DST)\\b[^;|]*?\\b{}=([^\\s;|,]+)"
 
 
 def _features(text_col: str, max_length: int, size: int, flags: bool) -> PipelineModel:

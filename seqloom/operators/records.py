@@ -33,10 +33,10 @@ MISSING = frozenset({"", "na", "nan", "null", "none"})
 
 
 class Broken(Exception):
-    """A quoting error and its offset."""
+    """A quoting error: its offset, and that of the field it is in."""
 
-    def __init__(self, at: int) -> None:
-        self.at = at
+    def __init__(self, at: int, field: int) -> None:
+        self.at, self.field = at, field
 
 
 class Record(NamedTuple):
@@ -59,12 +59,12 @@ def _quoted(raw: str, at: int, end: int) -> tuple[str, int]:
     while True:
         i = raw.find('"', i, end)
         if i < 0:
-            raise Broken(at)
+            raise Broken(at, at)
         if i + 1 < end and raw[i + 1] == '"':
             i += 2
             continue
         if i + 1 < end and raw[i + 1] != ",":
-            raise Broken(i + 1)
+            raise Broken(i + 1, at)
         return raw[start:i].replace('""', '"'), i + 1
 
 
@@ -73,7 +73,7 @@ def _bare(raw: str, at: int, end: int) -> tuple[str, int]:
     stop = end if stop < 0 else stop
     quote = raw.find('"', at, stop)
     if quote >= 0:
-        raise Broken(quote)
+        raise Broken(quote, at)
     return raw[at:stop], stop
 
 
@@ -153,7 +153,7 @@ def parse(raw: str | None, header: Header) -> list[Record]:
     try:
         return [header.typed(fields_of(raw), 0, 0)]
     except Broken as broken:
-        return [Record(0, broken.at, None, None, "quoting"), *_anchors(raw, broken.at, header)]
+        return [Record(0, broken.at, None, None, "quoting"), *_anchors(raw, broken.field, header)]
 
 
 def parse_records(lines: DataFrame, files: DataFrame) -> DataFrame:

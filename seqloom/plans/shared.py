@@ -17,6 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
     temporary one that is set here only where the session has none (local tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

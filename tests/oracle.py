@@ -1,0 +1,37 @@
+"""Compares a query with its SQL on the same tables."""
+
+import math
+import os
+from collections import Counter
+
+import duckdb
+
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+def connection():
+    c = duckdb.connect()
+    for f in sorted(os.listdir(FOLDER)):
+        c.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{FOLDER}/{f}'")
+    return c
+
+
+def plain(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else round(value, 6)
+    return [plain(x) for x in value] if isinstance(value, list) else value
+
+
+def counted(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return Counter(repr([plain(r[i]) for i in order]) for r in rows)
+
+
+def same(spark, query, sql):
+    df = query(spark, FOLDER)
+    got = counted(df.columns, [tuple(r) for r in df.collect()])
+    found = connection().execute(sql)
+    columns = [d[0] for d in found.description]
+    assert sorted(columns) == sorted(df.columns)
+    want = counted(columns, found.fetchall())
+    assert got == want, f"only Spark: {list((got - want).items())[:3]}; only SQL: {list((want - got).items())[:3]}"

@@ -1,0 +1,62 @@
+from pyspark.sql import functions as F
+
+from seqloom.operators.sequences import broken_links, latest_delivery, legs, parsed, render, review_queue, steps_of
+from seqloom.sources.csvfiles import labelled, read_csv
+
+SCHEMA = "step_id long, seq_id long, seq int, op string, attrs map<string,string>, arrived_at timestamp_ntz"
+
+
+def fixture(spark):
+    return labelled(read_csv(spark, "tests/fixtures/train.csv")).unionByName(labelled(read_csv(spark, "tests/fixtures/val.csv"))).withColumn("seq_id", F.monotonically_increasing_id())
+
+
+def exploded(spark):
+    steps = fixture(spark).select("seq_id", "label", F.explode(parsed(F.col("text"))).alias("s")).select("seq_id", "label", "s.*")
+    return steps.withColumn("step_id", F.col("seq_id") * 100 + F.col("seq"))
+
+
+def test_grammar_of_the_seven_rows(spark):
+    steps = exploded(spark)
+    assert steps.groupBy("seq_id").count().where("count = 5").count() == 7
+    assert {r.op for r in steps.select("op").distinct().collect()} == {"LOCK", "DEPOSIT", "PARSE", "AUTHORIZE", "UNLOCK", "SRC", "RELAY", "AUTH", "DST", "GAS"}
+
+
+def test_leg_rule_gives_all_seven_labels(spark):
+    found = legs(exploded(spark)).join(fixture(spark), "seq_id")
+    assert found.where(F.col("mismatch").cast("int") == F.col("label")).count() == 7
+
+
+def test_no_broken_link_in_the_seven_rows(spark):
+    assert broken_links(exploded(spark)).count() == 0
+
+
+def test_render_inverts_parse(spark):
+    back = render(exploded(spark)).join(fixture(spark).select("seq_id", F.col("text").alias("want")), "seq_id")
+    words = lambda c: F.transform(F.split(c, "; "), lambda s: F.array_sort(F.split(s, " ")))
+    assert back.where(words("text") == words("want")).count() == 7
+
+
+def test_broken_link(spark):
+    df = spark.createDataFrame([(1, 1, 1, "LOCK", {"tx": "a"}, None), (2, 1, 2, "deposit", {"tx": "b", "ref_lock": "zz"}, None), (3, 1, 3, "PARSE", None, None), (4, None, 4, "PARSE", {"ref_deposit": "q"}, None)], SCHEMA)
+    assert [tuple(r) for r in broken_links(df).collect()] == [(1, 2, "DEPOSIT", "ref_lock", "zz")]
+
+
+def test_latest_delivery_and_nulls(spark):
+    from datetime import datetime
+
+    df = spark.createDataFrame([(1, 1, 1, "LOCK", {"a": "old"}, datetime(2024, 1, 1)), (1, 1, 1, "LOCK", {"a": "new"}, datetime(2024, 1, 2)), (1, 1, 1, "LOCK", {"a": "never"}, None), (None, 1, 2, None, {"k": None}, None), (None, 1, 2, None, None, None)], SCHEMA)
+    kept = latest_delivery(df)
+    assert kept.count() == 3
+    assert kept.where("step_id = 1").first().attrs == {"a": "new"}
+    assert latest_delivery(df.limit(0)).count() == 0
+    assert render(kept).first().text.startswith("LOCK a=new")
+
+
+def test_steps_of_odd_texts(spark, rows):
+    df = spark.createDataFrame([(1, "A x=1; ;B"), (2, None), (3, ""), (4, "  ")], "id int, text string")
+    assert rows(steps_of(df, "id", "text")) == [(1, 1, "A", ["x=1"]), (1, 3, "B", [])]
+
+
+def test_review_queue(spark):
+    df = spark.createDataFrame([(3, 0.9), (1, 0.9), (2, float("nan")), (4, None), (5, 0.4)], "id int, prob_abnormal float")
+    assert [r.id for r in review_queue(df, "id").collect()] == [1, 3]
