@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -45,10 +47,15 @@ def test_bad_labels_raise(spark):
 
 
 def test_leg_flag_teaches_what_tokens_cannot(spark):
-    names = [f"name{i}" for i in range(40)]
-    data = [(f"LOCK tx=1 to={names[i % 40]} amount=5; UNLOCK tx=2 to={names[(i + (i % 2) * 7) % 40]} amount=5", i % 2) for i in range(400)]
+    pick = random.Random(3)
+    data = []
+    for _ in range(600):
+        a, b, label = pick.randrange(40), pick.randrange(39), pick.randrange(2)
+        b = (a + 1 + b) % 40 if label else a
+        data.append((f"LOCK tx=1 to=name{a} amount=5; UNLOCK tx=2 to=name{b} amount=5", label))
     df = spark.createDataFrame(data, "text string, label long")
-    with_flag, without = (evaluate(fit(df.limit(100), df, epochs=2, features=256, flags=flags)[0], df).f1 for flags in (True, False))
+    train, test = spark.createDataFrame(data[:400], df.schema), spark.createDataFrame(data[400:], df.schema)
+    with_flag, without = (evaluate(fit(train, test, epochs=3, features=1024, flags=flags)[0], test).f1 for flags in (True, False))
     assert with_flag > 0.9 > without
 
 
