@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import wordsets as W
+from seqloom.llm.components import components
 from seqloom.llm.words import flat_of
 from seqloom.plans.shared import BROADCAST_ROWS, attach_groups, materialize, rows_up_to
 
@@ -107,6 +108,18 @@ class NearCopies:
         groups = materialize(self.reps.where("copies > 1").select(key.alias("key"), "rep", "copies"))
         return attach_groups(self.sets.select("id", key.alias("key")), groups, "key", "copies", total).select("id", "rep")
 
+    def groups(self) -> DataFrame:
+        """(id, cls, grp, links) of every row with a word: its class and group by their
+        smallest identifiers, and the number of other rows it is similar to."""
+        rows = self.reps.where("copies = 1").select(F.col("rep").alias("id"), F.col("rep").alias("cls")).unionByName(self.members().select("id", F.col("rep").alias("cls")))
+        sizes = self.reps.select("rep", "copies")
+        both = self.links.select("a", "b").unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        linked = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+        classes = sizes.join(linked.withColumnRenamed("a", "rep"), "rep", "left").join(components(self.links).select(F.col("node").alias("rep"), F.col("component")), "rep", "left")
+        named = materialize(classes.select(F.col("rep").alias("cls"), "copies", F.coalesce("component", "rep").alias("grp"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links")))
+        total = self.reps.agg(F.sum("copies")).first()[0] or 0
+        return attach_groups(rows, named, "cls", "copies", total).select("id", "cls", "grp", "links")
+
     def pairs(self) -> DataFrame:
         """(id_a, id_b): all pairs of rows, copies expanded."""
         members = materialize(self.members())

@@ -1,0 +1,67 @@
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from seqloom.llm.sampling import sample, supply, unmet
+
+TARGETS = "plan_id long, split string, source string, label long, target_share double, min_rows long, sample_rows long"
+
+
+def corpus(spark, n=30_000):
+    return spark.range(n).select(F.col("id").alias("seq_id"), F.when(F.col("id") % 10 < 8, "train").otherwise("test").alias("split"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 97 == 0, F.lit(None)).otherwise("cold").alias("source"), (F.col("id") % 2).alias("label"), F.lit("x").alias("wanted"), F.lit(1).alias("u"))
+
+
+def plans(spark):
+    return spark.createDataFrame(
+        [
+            (1, "train", "hot", 0, 0.5, 10, 2000), (1, "train", "cold", 1, 0.0, 7, 2000), (1, "train", None, 1, 0.01, 0, 2000), (1, "train", "none such", 1, 0.1, 3, 2000), (2, "test", "hot", 1, 1.0, 0, 100_000),
+            (2, "test", "hot", 1, 0.1, 5, 100_000), (3, "train", "hot", None, None, None, None), (3, None, "hot", 0, 0.1, 1, 10), (4, "train", "hot", 0, 1.0, 1, 4),
+        ],
+        TARGETS,
+    )
+
+
+def test_counts_are_exact_and_deficits_reported(spark):
+    rows = corpus(spark)
+    got = Counter(tuple(r) for r in sample(rows, plans(spark), "seq_id").select("plan_id", "split", "source", "label").collect())
+    known = {tuple(r[k] for k in ("plan_id", "split", "source", "label")): r for r in supply(rows, plans(spark)).collect()}
+    for key, r in known.items():
+        assert got[key] == min(r.wanted, r.have), key
+    assert known[(1, "train", "hot", 0)].wanted == 1000 and known[(2, "test", "hot", 1)].wanted == 100_000
+    assert {(r.plan_id, r.source, r.label) for r in unmet(rows, plans(spark)).collect()} == {(1, "none such", 1), (2, "hot", 1), (3, "hot", 0)}
+
+
+def test_rows_belong_to_their_category_and_are_drawn_once(spark):
+    rows = corpus(spark)
+    drawn = sample(rows, plans(spark), "seq_id")
+    assert drawn.count() == drawn.select("plan_id", "id").distinct().count()
+    joined = drawn.alias("d").join(rows.alias("r"), F.col("d.id") == F.col("r.seq_id"))
+    assert joined.where("NOT (d.split <=> r.split AND d.source <=> r.source AND d.label <=> r.label)").count() == 0
+
+
+def test_a_draw_that_accepts_too_few_is_filled(spark):
+    rows = corpus(spark)
+    few = sample(rows, plans(spark), "seq_id", over=-10.0)  # acceptance close to nothing
+    assert few.where("plan_id = 1 and source = 'hot'").count() == 1000
+
+
+def test_seeds_differ_and_repeat(spark):
+    ids = lambda seed: {r.id for r in sample(corpus(spark), plans(spark), "seq_id", seed=seed).where("plan_id = 4").collect()}
+    assert ids(1) == ids(1) and len(ids(1) | ids(2) | ids(3)) > 4
+
+
+def test_sample_is_spread_over_the_rows(spark):
+    mean = sample(corpus(spark), plans(spark), "seq_id").where("plan_id = 1 and source = 'hot'").agg(F.avg("id")).first()[0]
+    assert 13_500 < mean < 16_500
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rows = spark.createDataFrame([(None, "train", "hot", 0)] * 3 + [(1, "train", "hot", 0)] * 3, "seq_id long, split string, source string, label long")
+    assert sample(rows, plans(spark), "seq_id").where("plan_id = 4").count() == 4
+
+
+def test_empty_tables(spark):
+    rows = corpus(spark, 10)
+    assert sample(rows.limit(0), plans(spark), "seq_id").count() == 0
+    assert sample(rows, plans(spark).limit(0), "seq_id").count() == 0
+    assert unmet(rows.limit(0), plans(spark)).count() == 7
