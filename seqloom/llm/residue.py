@@ -52,12 +52,12 @@ PLACEHOLDERS = [
 ]
 #: Marks that a program or author leaves where a value is missing.
 MARKS = [
-    r"#(?:REF|VALUE|NAME|DIV/0|NUM|NULL)[!?]|#N/A\b",
-    r"\[object Object\]",
+    r"(?i:#(?:REF|VALUE|NAME|DIV/0|NUM|NULL)[!?]|#N/A\b)",
+    r"(?i:\[object Object\])",
     r"(?<![\w%])%[sd](?!\w)",
     r"(?<=[^\W_][ ,])_{4,}(?=[ ,.;:?!])",
     r"(?:(?<=\s)|(?<=[一-鿿]))\?\?\?(?=[\s,;，]|[一-鿿])",
-    r"\bXX(?:\.XX)?\.XXXX\b",
+    r"(?i:\bXX(?:\.XX)?\.XXXX\b)",
     r"(?<![\w.\"'])(?:undefined|UNDEFINED|null|NULL|[Nn]a[Nn]|NAN|TBD|tbd|TODO|FIXME)(?![\w\"'(])",
 ]
 _PLACEHOLDER = re.compile(r"(?=[{$#<%@_*«:&\[(【X])(?:" + "|".join(f"(?:{p})" for p in PLACEHOLDERS) + ")", re.I)
