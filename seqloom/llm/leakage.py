@@ -36,7 +36,7 @@ def windows(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray,
     """Rolling hash, text and first word of every window of ``size`` words."""
     flat, counts = flat_words(texts, ungroup=False)
     codes, distinct = codes_of(flat)
-    h = hash_words(distinct)[codes] if flat else np.zeros(0, np.uint64)
+    h = hash_words(distinct.to_pylist())[codes]
     n = max(len(h) - size + 1, 0)
     total = np.zeros(n, np.uint64)
     for j in range(size):  # Horner's rule modulo 2 ** 64

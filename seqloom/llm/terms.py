@@ -76,7 +76,7 @@ def _partial(texts: list[str], ids: np.ndarray) -> pa.RecordBatch:
         at = np.r_[starts, len(both)] * 2 if len(both) else np.zeros(1)
         bitmaps = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(low)])
     head = group[starts]
-    terms = pa.array(distinct, pa.string()).take(pa.array(head // len(blocks))) if len(distinct) else pa.array([], pa.string())
+    terms = distinct.take(pa.array(head // max(len(blocks), 1)))
     sums = np.add.reduceat(occ, starts) if len(starts) else np.zeros(0, np.int64)
     return pa.RecordBatch.from_arrays([terms, pa.array(blocks[head % len(blocks)] if len(head) else head), bitmaps, pa.array(sums), pa.array(cards)], ["term", "block", "bitmap", "occurrences", "card"])
 

@@ -35,34 +35,38 @@ def flat_words(texts: list[str | None], ungroup: bool) -> tuple[list[str], np.nd
     return flat, counts
 
 
-def codes_of(flat: list[str]) -> tuple[np.ndarray, list[str]]:
+def codes_of(flat: list[str]) -> tuple[np.ndarray, pa.Array]:
     """Integer code of every word, and the distinct words by code."""
-    known: dict[str, int] = {}
-    get = known.setdefault
-    codes = np.fromiter((get(w, len(known)) for w in flat), np.int64, len(flat))
-    return codes, list(known)
+    coded = pa.array(flat, pa.string()).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
-def hash_words(distinct: list[str]) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w) for w in distinct), np.uint64, len(distinct))
+def hash_words(found: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
 
 
 def word_sets(texts: list[str | None], ungroup: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The set of word hashes of each text: a flat array in which each text's hashes
     are distinct and ascending, and the size of each set."""
-    flat, counts = flat_words(texts, ungroup)
-    if not flat:
-        return np.zeros(0, np.uint64), counts
-    codes, distinct = codes_of(flat)
-    hashes = hash_words(distinct)
-    rank = np.empty(len(distinct), np.int64)
-    order = np.argsort(hashes, kind="stable")
-    rank[order] = np.arange(len(distinct))
-    row = np.repeat(np.arange(len(texts), dtype=np.int64), counts)
-    both = np.unique(row * len(distinct) + rank[codes])
-    row = both // len(distinct)
-    return hashes[order][both - row * len(distinct)], np.bincount(row, minlength=len(texts))
+    flat: list[str] = []
+    counts = np.zeros(len(texts), np.int64)
+    find = WORD.findall
+    for i, text in enumerate(texts):
+        if text:
+            if ungroup and ("," in text or "'" in text):
+                text = DIGIT_GROUP.sub("", text)
+            found = set(find(text.lower())) if text.isascii() else {w.lower() for w in find(text)}
+            counts[i] = len(found)
+            flat += found
+    hashes = hash_words(flat)
+    row = np.repeat(np.arange(len(texts), dtype=np.uint64), counts)
+    bits = max(1, (len(texts) - 1).bit_length())
+    # one sort by row and the upper bits of the hash; two keys only where those tie
+    key = (row << np.uint64(64 - bits)) | (hashes >> np.uint64(bits))
+    order = np.argsort(key)
+    if (np.diff(key[order]) == 0).any():
+        order = np.lexsort((hashes, row))
+    return hashes[order], counts
 
 
 def binary_rows(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
