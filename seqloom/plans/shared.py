@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -25,6 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_FOLDERS: set[str] = set()
+
+
+def _delete(jvm, conf, folder: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the JVM may be gone already  # noqa: BLE001
+        pass
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return the table.
 
@@ -32,10 +44,12 @@ def materialize(df: DataFrame) -> DataFrame:
     table again, and later passes read columns, not recomputed rows. The table is
     deleted when the session's file system client closes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seqloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/seqloom-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
 
 
