@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.bpe import encode_corpus
-from seqloom.llm.copies import Copies
+from seqloom.llm.copies import KEYS, OPS, Copies
 from seqloom.llm.crosssplit import CrossSplit, found_pairs, report, split_side
 from seqloom.llm.leakage import cleaned, leaks
 from seqloom.llm.nearcopies import NearCopies
@@ -111,8 +111,35 @@ _GRAMS = """(SELECT {id}, unnest(list_transform(range(1, greatest(len(w) - 8, 1)
   FROM (SELECT {id}, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: lower(x)) AS w FROM {table}))"""
 _P8 = f"SELECT DISTINCT a.doc_id, b.item_id FROM {_GRAMS.format(id='doc_id', table='documents')} a JOIN {_GRAMS.format(id='item_id', table='eval_items')} b ON a.g = b.g"
 
+_OPS = "'" + "', '".join(sorted(OPS)) + "'"
+_KEYS = "'" + "', '".join(sorted(KEYS)) + "'"
+_HIDDEN = r"[\p{Cf}\x{FE00}-\x{FE0F}]"
+_GROUPED = r"'([0-9])[,''\x{2019}\x{00a0}\x{2009}\x{202f}]([0-9]{3})([^0-9]|$)', '\1\2\3', 'g'"
+_CANON = f"""
+  WITH plain AS (SELECT seq_id, regexp_replace(lower(text), '{_HIDDEN}', '', 'g') AS t FROM sequences WHERE text IS NOT NULL),
+  joined AS (SELECT seq_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, {_GROUPED}), {_GROUPED}), {_GROUPED}), '([0-9])[.]([0-9])', '\\1_dot_\\2', 'g') AS t FROM plain),
+  lists AS (SELECT seq_id, regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+') AS w FROM joined),
+  tokens AS (SELECT seq_id, unnest(w) AS w, unnest(range(len(w))) AS pos FROM lists),
+  marked AS (SELECT *, sum(CASE WHEN w IN ({_OPS}) THEN 1 ELSE 0 END) OVER p AS step, sum(CASE WHEN w IN ({_OPS}, {_KEYS}) THEN 1 ELSE 0 END) OVER p AS field FROM tokens WINDOW p AS (PARTITION BY seq_id ORDER BY pos)),
+  fields AS (SELECT seq_id, step, field, string_agg(w, ' ' ORDER BY pos) AS v, bool_or(w IN ({_OPS})) AS op FROM marked GROUP BY seq_id, step, field),
+  steps AS (SELECT seq_id, step, string_agg(v, '|' ORDER BY NOT op, v) AS v FROM fields GROUP BY seq_id, step),
+  canon AS (SELECT seq_id, string_agg(v, '#' ORDER BY step) AS c FROM steps GROUP BY seq_id)"""
+_SIMILAR = r"""
+  WITH plain AS (SELECT seq_id, regexp_replace(regexp_replace(regexp_replace(text, G), G), G) AS t FROM sequences WHERE text IS NOT NULL),
+  words AS (SELECT DISTINCT seq_id, lower(unnest(regexp_extract_all(t, '[\p{L}\p{N}_]+'))) AS w FROM plain),
+  sizes AS (SELECT seq_id, count(*) AS n FROM words GROUP BY seq_id),
+  sized AS (SELECT w.seq_id, w, n FROM words w JOIN sizes s ON s.seq_id = w.seq_id),
+  pairs AS (SELECT a.seq_id AS id_a, b.seq_id AS id_b FROM sized a JOIN sized b ON a.w = b.w AND a.seq_id < b.seq_id AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4
+    GROUP BY a.seq_id, b.seq_id, a.n, b.n HAVING count(*) * 9 >= (a.n + b.n) * 4)""".replace("G)", r"'([0-9])[,'']([0-9]{3})([^0-9]|$)', '\1\2\3', 'g')")
+_CROSS = "(SELECT id_a, id_b FROM pairs JOIN sequences x ON x.seq_id = id_a JOIN sequences y ON y.seq_id = id_b WHERE (x.split = 'train' AND y.split IN ('validation', 'test')) OR (y.split = 'train' AND x.split IN ('validation', 'test')))"
+
 SQL: dict[str, str] = {
     "p8_found": _P8,
+    "p1_found": _CANON + " SELECT m AS id_a, seq_id AS id_b FROM (SELECT seq_id, min(seq_id) OVER (PARTITION BY c) AS m FROM canon) WHERE m <> seq_id",
+    "p1_records": _CANON + " SELECT min(seq_id) AS seq_id, count(*) AS copies FROM canon GROUP BY c UNION ALL SELECT seq_id, 1 FROM sequences WHERE seq_id NOT IN (SELECT seq_id FROM canon)",
+    "p4_found": _SIMILAR + " SELECT id_a, id_b FROM pairs",
+    "p6_found": _SIMILAR + f" SELECT id_a, id_b FROM {_CROSS}",
+    "p6_report": _SIMILAR + f" SELECT h.split, h.source, count(*) AS pairs, count(DISTINCT h.seq_id) AS held_rows, count(*) FILTER (h.label = t.label) AS same_label FROM {_CROSS} p JOIN sequences h ON h.seq_id IN (id_a, id_b) AND h.split <> 'train' JOIN sequences t ON t.seq_id IN (id_a, id_b) AND t.split = 'train' GROUP BY h.split, h.source",
     "p2_terms": _TERMS,
     "p2_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p3_supply": _SUPPLY,
