@@ -53,6 +53,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its source has fewer partitions than half of them, as a
+    single small file has. Larger inputs have more partitions and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def rows_up_to(df: DataFrame, limit: int) -> int:
     """Number of rows, counted no further than ``limit + 1``."""
     return df.limit(limit + 1).count()
