@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.words import flat_of
-from seqloom.plans.shared import attach_groups, materialize
+from seqloom.plans.shared import attach_groups, materialize, spread
 
 #: The ops and keys of the transfer notation.
 OPS = frozenset("lock deposit parse authorize unlock src relay auth dst gas retry note check".split())
@@ -85,7 +85,7 @@ def canonical_keys(df: DataFrame, id_col: str, text_col: str, form=canonical) ->
             forms = [form(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if f is None else digest(f) for f in forms], pa.binary())], ["id", "key"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, key binary")
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, key binary")
 
 
 SEGMENT_BITS = 1 << 16

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.words import WORD, codes_of, flat_words, hash_words, words
-from seqloom.plans.shared import rows_up_to
+from seqloom.plans.shared import rows_up_to, spread
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: N-grams up to which the set is broadcast (some 150 bytes each).
@@ -116,7 +116,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text_col
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r for r, _ in pairs], pa.int64())), pa.array([i for _, i in pairs], pa.int64())], ["doc", "item"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    return rows.mapInArrow(run, "doc long, item long").distinct()
+    return spread(rows).mapInArrow(run, "doc long, item long").distinct()
 
 
 def _broadcast(docs: DataFrame, items: DataFrame, item_id: str, text_col: str, size: int):
@@ -150,4 +150,4 @@ def cleaned(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text_c
                 texts[r] = "".join(parts) + texts[r][at:]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(cuts, pa.int32())], ["doc", "text", "spans"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, text string, spans int")
+    return spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc long, text string, spans int")

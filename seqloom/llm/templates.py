@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import residue as R
-from seqloom.plans.shared import checked_broadcast, materialize, rows_up_to
+from seqloom.plans.shared import checked_broadcast, materialize, rows_up_to, spread
 
 #: Lines that carry no content of their own: navigation, references, waiting notes.
 _FURNITURE = re.compile(r"(?:loading|please wait|redirecting|one moment|just a moment|bitte warten|un momento|veuillez patienter|正在加载|加载中|请稍候)\b.*|(?:request|ref|ray|trace) id.*|[45]\d\d|skip to content|back|←.*|©.*|(?:[\w ]{1,20}[|·>›]){1,8}[\w ]{1,20}|menu(?:  ?\w+){0,8}", re.I)
@@ -56,7 +56,7 @@ def _judge(text: str | None, slug: str) -> tuple[list[str], int | None]:
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, host_col: str, slug_cols: tuple[str, ...]) -> DataFrame:
     slug = F.concat_ws(" ", F.col(host_col).cast("string"), *[F.col(c).cast("string") for c in slug_cols])
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"), slug.alias("slug"))
+    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"), slug.alias("slug")))
 
 
 def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, slug_cols: tuple[str, ...] = ()) -> DataFrame:

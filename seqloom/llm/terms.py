@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.words import codes_of, flat_words
+from seqloom.plans.shared import spread
 
 BLOCK = 1 << 16
 DENSE = BLOCK // 16  # offsets from which bits are the shorter form
@@ -100,7 +101,7 @@ def term_bitmaps(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield _partial(texts, np.concatenate(ids))
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return rows.mapInArrow(run, "term string, block long, bitmap binary, occurrences long, card long")
+    return spread(rows).mapInArrow(run, "term string, block long, bitmap binary, occurrences long, card long")
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

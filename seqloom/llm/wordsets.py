@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.words import binary_rows, flat_of, word_sets
+from seqloom.plans.shared import spread
 
 #: Counters of the sketch (4 MB), whatever the corpus.
 SLOTS = 1 << 20
@@ -39,7 +40,7 @@ def token_sets(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFra
             sets = binary_rows(flat, counts[counts > 0])
             yield pa.RecordBatch.from_arrays([sets, *[b.column(n).filter(keep) for n in names]], ["toks", *names])
 
-    return rows.mapInArrow(run, "toks binary, " + ", ".join(f"`{n}` {types[n]}" for n in names))
+    return spread(rows).mapInArrow(run, "toks binary, " + ", ".join(f"`{n}` {types[n]}" for n in names))
 
 
 def sketch(sets: DataFrame, column: str = "toks", rows: int = 200_000) -> np.ndarray:
