@@ -66,8 +66,10 @@ def sample(rows: DataFrame, targets: DataFrame, id_col: str, seed: int = 7, over
     hashed = _join(slim, plans, CATEGORY)
     hashed = hashed.withColumn("u", F.xxhash64("plan_id", "id", F.lit(seed)) / F.lit(2.0**64) + F.lit(0.5))
     key = ["plan_id", *CATEGORY]
-    cell = F.least(F.floor(F.col("u") * CELLS), F.lit(CELLS - 1))
-    hashed = hashed.withColumn("cell", cell)
+    # Cells are even over the accepted range, however narrow, and over the rest of it.
+    inside = F.col("u") / F.col("chance")
+    cell = F.when(F.col("u") < F.col("chance"), F.floor(inside * CELLS)).otherwise(CELLS + F.floor(F.try_divide(F.col("u") - F.col("chance"), 1 - F.col("chance")) * CELLS))
+    hashed = hashed.withColumn("cell", F.coalesce(cell, F.lit(2 * CELLS)))
     # Accepted rows lie below `chance`; a category of which too few were accepted (rarely)
     # is filled from the rows that follow in the same hash order.
     counted = hashed.groupBy(*key, "want", "cell").agg(F.count_if(F.col("u") < F.col("chance")).alias("accepted"), F.count(F.lit(1)).alias("all"))
