@@ -3,7 +3,7 @@
 Texts with the same word set are one class. Classes are joined by prefix filtering
 under several global token orders: a candidate pair meets in the inverted list of a
 prefix token of the first order and must also share a prefix token under each of the
-other orders. Those are checked inside the join by 64-bit masks of the prefixes, so
+other orders; larger sets probe the lists of smaller ones. Those are checked inside the join by 64-bit masks of the prefixes, so
 the filters are intersected before any set is fetched. What is left is verified on
 whole sets; no filter can lose a pair at or above the threshold.
 
@@ -28,9 +28,10 @@ from seqloom.llm.words import flat_of
 from seqloom.plans.shared import BROADCAST_ROWS, attach_groups, materialize, rows_up_to
 
 
-def prefix_rows(reps: DataFrame, freq: np.ndarray, threshold: Fraction) -> DataFrame:
+def prefix_rows(reps: DataFrame, freq: np.ndarray, share: Fraction) -> DataFrame:
     """(key, rep, n, m1, m2): one row for each prefix token of the first order; the masks
-    have a bit for each prefix token of the other orders."""
+    have a bit for each prefix token of the other orders. ``share`` is the part of a set
+    that its partners share at least, so prefixes are n - ceil(share n) + 1 long."""
     table = reps.sparkSession.sparkContext.broadcast(freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +39,7 @@ def prefix_rows(reps: DataFrame, freq: np.ndarray, threshold: Fraction) -> DataF
             if not b.num_rows:
                 continue
             flat, counts = flat_of(b.column("toks"), np.uint64)
-            take = W.overlap_prefix(counts, threshold)
+            take = W.overlap_prefix(counts, share)
             starts = np.cumsum(counts) - counts
             inner = np.arange(len(flat)) - np.repeat(starts, counts)
             head = inner < np.repeat(take, counts)
@@ -91,13 +92,18 @@ class NearCopies:
         #: (toks, rep, copies) of the classes; counted before the shuffle, so a hot class is one row a task.
         self.reps = materialize(self.sets.groupBy("toks").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
         freq = W.sketch(self.reps)
-        rows = prefix_rows(self.reps, freq, self.threshold)
-        x, y = rows.alias("x"), rows.alias("y")
         t, u = self.threshold.numerator, self.threshold.denominator
-        same_key = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))
-        length = (F.col("x.n") * u >= F.col("y.n") * t) & (F.col("y.n") * u >= F.col("x.n") * t)
+        # A similar pair shares at least t of its larger set, and at least 2 t / (1 + t) of
+        # its smaller one. So larger sets probe, with the longer prefixes, lists of the
+        # shorter prefixes of smaller sets. Sets of one length that share too little have
+        # no shared token in these, however frequent it is: a hot token brings together
+        # only what is similar.
+        probes, lists = prefix_rows(self.reps, freq, self.threshold).alias("x"), prefix_rows(self.reps, freq, 2 * self.threshold / (1 + self.threshold)).alias("y")
+        smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.rep") < F.col("x.rep")))
+        length = F.col("y.n") * u >= F.col("x.n") * t
         masks = (F.col("x.m1").bitwiseAND(F.col("y.m1")) != 0) & (F.col("x.m2").bitwiseAND(F.col("y.m2")) != 0)
-        candidates = materialize(x.join(y, same_key & length & masks).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+        met = probes.join(lists, (F.col("x.key") == F.col("y.key")) & smaller & length & masks)
+        candidates = materialize(met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
         #: (a, b, similarity): similar classes by their smallest identifiers.
         self.links = materialize(verified(fetched(candidates, self.reps), self.threshold))
 

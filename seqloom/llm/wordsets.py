@@ -93,10 +93,10 @@ def ordered(flat: np.ndarray, counts: np.ndarray, freq: np.ndarray, order: int)
     return np.argsort((row << np.uint64(40)) | (rank << np.uint64(32)) | (mixed >> np.uint64(32)), kind="stable")
 
 
-def overlap_prefix(counts: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Prefix length for Jaccard similarity: two sets that reach the threshold share a
-    token among their first n - ceil(t n) + 1 in any common order."""
-    t, u = threshold.numerator, threshold.denominator
+def overlap_prefix(counts: np.ndarray, share: Fraction) -> np.ndarray:
+    """Prefix length of sets that share at least ``share`` of themselves with a partner:
+    two sets that do have a common token in these prefixes under any common order."""
+    t, u = share.numerator, share.denominator
     return counts - -(-counts * t // u) + 1
 
 
