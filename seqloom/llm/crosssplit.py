@@ -3,8 +3,11 @@
 A weighted cosine join between the evaluation and the training split. Each text is a
 unit vector of term weights. Its terms are indexed from rare to frequent until what
 remains can't reach the threshold any more: the residual's norm, or the sum of its
-weights times the other split's maximum weight of each term, is below it. Records
-meet in inverted lists of indexed terms; the partial dot product, with the residual
+weights times the other split's maximum weight of each term, is below it. Of a pair,
+the vector with the larger maximum weight is listed and the other probes; knowing that
+no weight of a probe exceeds its own maximum, the listed one indexes fewer terms, so
+that a frequent term brings together only what may be similar. Records meet in
+inverted lists of indexed terms; the partial dot product, with the residual
 norm as bound on the rest, prunes a pair before its vectors are fetched and the exact
 dot product is computed.
 
@@ -83,9 +86,10 @@ def max_weights(reps: DataFrame, side: int, freq: np.ndarray, total: int, scheme
     return out
 
 
-def inverted_lists(reps: DataFrame, side: int, freq: np.ndarray, other_max: np.ndarray, total: int, threshold: float, scheme: str) -> DataFrame:
-    """(key, rep, w, rest): the indexed terms of a side's vectors, their weights, and the
-    norm of what isn't indexed."""
+def inverted_lists(reps: DataFrame, side: int, freq: np.ndarray, other_max: np.ndarray, total: int, threshold: float, scheme: str, listed: bool) -> DataFrame:
+    """(key, rep, w, rest, top): the indexed terms of a side's vectors, their weights, the
+    norm of what isn't indexed, and the vector's maximum weight. ``listed``: for partners
+    of no larger maximum weight."""
     shared = reps.sparkSession.sparkContext.broadcast((freq, other_max))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,17 +110,19 @@ def inverted_lists(reps: DataFrame, side: int, freq: np.ndarray, other_max: np.n
                 return np.repeat(run[starts + counts - 1], counts) - before
 
             norm = np.sqrt(np.maximum(rest_from(weight * weight), 0))
-            reach = rest_from(weight * other[(flat & np.uint64(W.SLOTS - 1)).astype(np.int64)])
+            top = np.maximum.reduceat(weight, starts)
+            most = other[(flat & np.uint64(W.SLOTS - 1)).astype(np.int64)]
+            reach = rest_from(weight * (np.minimum(most, np.repeat(top, counts)) if listed else most))
             # a term is indexed while what stands from it on could still reach the threshold
-            keep = np.minimum(norm, reach) >= threshold - EPS
+            keep = np.minimum(norm, reach) >= threshold - 1e-6  # weights are compared in 32 bits
             row = np.repeat(np.arange(len(counts)), counts)
             indexed = np.add.reduceat(keep.astype(np.int64), starts)
             rest = np.where(indexed < counts, norm[np.minimum(starts + indexed, len(norm) - 1)], 0)
             rep = np.asarray(b.column("rep"))
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep].view(np.int64)), pa.array(rep[row[keep]]), pa.array(weight[keep].astype(np.float32)), pa.array(rest[row[keep]].astype(np.float32))], ["key", "rep", "w", "rest"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep].view(np.int64)), pa.array(rep[row[keep]]), pa.array(weight[keep].astype(np.float32)), pa.array(rest[row[keep]].astype(np.float32)), pa.array(top[row[keep]].astype(np.float32))], ["key", "rep", "w", "rest", "top"])
 
     own = reps.where(F.col("side").bitwiseAND(side) != 0).select("rep", "toks")
-    return own.mapInArrow(run, "key long, rep long, w float, rest float")
+    return own.mapInArrow(run, "key long, rep long, w float, rest float, top float")
 
 
 class CrossSplit:
@@ -137,9 +143,15 @@ class CrossSplit:
         self.reps = materialize(self.sets.groupBy("toks").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.expr("bit_or(side)").alias("side")).withColumn("key", key))
         self.total = self.reps.count()
         freq = W.sketch(self.reps)
-        lists = {s: inverted_lists(self.reps, s, freq, max_weights(self.reps, 3 - s, freq, self.total, scheme), self.total, threshold, scheme) for s in (1, 2)}
-        train, held = lists[1].select("key", F.col("rep").alias("a"), F.col("w").alias("wa"), F.col("rest").alias("ra")), lists[2].select("key", F.col("rep").alias("b"), F.col("w").alias("wb"), F.col("rest").alias("rb"))
-        met = train.join(held, "key").where("a <> b").groupBy("a", "b").agg(
+        best = {s: max_weights(self.reps, s, freq, self.total, scheme) for s in (1, 2)}
+
+        def lists(side: int, listed: bool, names: str) -> DataFrame:
+            return inverted_lists(self.reps, side, freq, best[3 - side], self.total, threshold, scheme, listed).toDF("key", *names.split())
+
+        # equal maximum weights meet with the training side listed
+        met = lists(1, True, "a wa ra ta").join(lists(2, False, "b wb rb tb"), "key").where("a <> b and ta >= tb")
+        met = met.unionByName(lists(1, False, "a wa ra ta").join(lists(2, True, "b wb rb tb"), "key").where("a <> b and ta < tb"))
+        met = met.groupBy("a", "b").agg(
             F.sum(F.col("wa").cast("double") * F.col("wb")).alias("dot"), F.max("ra").alias("ra"), F.max("rb").alias("rb"), F.sum(F.col("wa").cast("double") * F.col("wa")).alias("na"), F.sum(F.col("wb").cast("double") * F.col("wb")).alias("nb")
         )
         # terms outside both prefixes lie in one residual; the other vector has no more

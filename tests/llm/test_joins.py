@@ -1,14 +1,16 @@
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from seqloom.llm.crosssplit import CrossSplit, found_pairs, report, split_side
-from seqloom.llm.nearcopies import NearCopies
-from seqloom.llm.words import DIGIT_GROUP, words
-from seqloom.llm import wordsets as W
 from pyspark.sql import functions as F
 
+from seqloom.llm import wordsets as W
+from seqloom.llm.crosssplit import CrossSplit, found_pairs, inverted_lists, max_weights, report, split_side
+from seqloom.llm.nearcopies import NearCopies, prefix_rows
+from seqloom.llm.words import DIGIT_GROUP, words
+
 
 def word_set(text):
     return frozenset(words(DIGIT_GROUP.sub("", text))) if text else frozenset()
@@ -117,3 +119,19 @@ def test_empty_and_one_sided(spark):
     assert NearCopies(df, "seq_id", "text").groups().count() == 1
     for rows in (df, df.limit(0)):
         assert CrossSplit(rows, "seq_id", "text", split_side(F.col("split")), 0, jaccard=0.8).overlaps().count() == 0
+
+
+def test_a_hot_family_that_is_not_similar_is_never_paired(spark):
+    """Rows of one template with enough words of their own: its words, in every row, are
+    in no list, so nothing meets."""
+    hot = " ".join(f"h{k}" for k in range(8))
+    df = spark.createDataFrame([(i, f"{hot} a{i} b{i}", "train" if i % 2 else "test") for i in range(3000)], "seq_id long, text string, split string")
+    sets = NearCopies(df, "seq_id", "text")
+    assert sets.links.count() == 0
+    freq = W.sketch(sets.reps)
+    lists = prefix_rows(sets.reps, freq, Fraction(8, 9))
+    assert lists.groupBy("key").count().agg(F.max("count")).first()[0] == 1
+    found = CrossSplit(df, "seq_id", "text", split_side(F.col("split")), 0, jaccard=0.8)
+    assert found.links.count() == 0
+    listed = inverted_lists(found.reps, 1, freq, max_weights(found.reps, 2, freq, found.total, "binary"), found.total, 8 / 9, "binary", True)
+    assert listed.groupBy("key").count().agg(F.max("count")).first()[0] == 1
