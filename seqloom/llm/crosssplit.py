@@ -213,10 +213,16 @@ def found_pairs(overlaps: DataFrame) -> DataFrame:
     return overlaps.where("train <> held").select(F.least("train", "held").alias("id_a"), F.greatest("train", "held").alias("id_b")).distinct()
 
 
-def report(overlaps: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
-    """Overlaps by evaluation split and source: pairs, evaluation rows concerned, and
-    pairs whose labels agree (null labels don't)."""
-    t = rows.select(F.col(id_col).alias("train"), F.col("label").alias("train_label"))
-    h = rows.select(F.col(id_col).alias("held"), "split", "source", F.col("label").alias("held_label"))
-    joined = overlaps.join(t, "train").join(h, "held")
-    return joined.groupBy("split", "source").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("held").alias("held_rows"), F.count_if(F.col("train_label") == F.col("held_label")).alias("same_label"))
+def report(cross: CrossSplit, rows: DataFrame, id_col: str) -> DataFrame:
+    """(split, source, pairs, held_rows, same_label): overlaps by evaluation split and
+    source, the evaluation rows concerned, and the pairs whose labels agree (null labels
+    don't). Counted by class, so copies are never paired one by one."""
+    about = rows.select(F.col(id_col).cast("long").alias("id"), "split", "source", "label")
+    members = materialize(cross.members().join(about, "id"))
+    train = members.where("side = 1").groupBy(F.col("rep").alias("a"), F.col("label").alias("train_label")).agg(F.count(F.lit(1)).alias("n"))
+    held = members.where("side = 2").groupBy(F.col("rep").alias("b"), "split", "source", "label").agg(F.count(F.lit(1)).alias("m"))
+    within = held.select(F.col("b").alias("a"), "b").distinct()
+    met = cross.links.select("a", "b").unionByName(within).join(train, "a").groupBy("b", "train_label").agg(F.sum("n").alias("n"))
+    by_label = met.groupBy("b").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.when(F.col("train_label").isNotNull(), F.struct("train_label", "n")))).alias("by_label"))
+    same = F.when(F.col("label").isNotNull(), F.coalesce(F.try_element_at("by_label", "label"), F.lit(0))).otherwise(0)
+    return held.join(by_label, "b").groupBy("split", "source").agg(F.sum(F.col("m") * F.col("n")).alias("pairs"), F.sum("m").alias("held_rows"), F.sum(F.col("m") * same).alias("same_label"))

@@ -64,7 +64,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    return report(_across(spark, d).overlaps(), table(spark, d, "sequences"), "seq_id")
+    return report(_across(spark, d), table(spark, d, "sequences"), "seq_id")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

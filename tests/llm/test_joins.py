@@ -84,10 +84,18 @@ def test_cross_split_against_brute_force(spark):
     want, split = brute(data)
     kind = lambda i: {"train": 1, "validation": 2, "test": 2}.get(split[i], 0)
     want = sorted(p for p in want if {kind(p[0]), kind(p[1])} == {1, 2})
-    overlaps = CrossSplit(table(spark, data), "seq_id", "text", split_side(F.col("split")), 0, jaccard=0.8).overlaps()
-    assert sorted(map(tuple, found_pairs(overlaps).collect())) == want
-    total = report(overlaps, table(spark, data), "seq_id").agg(F.sum("pairs")).first()[0]
-    assert total == len(want)
+    cross = CrossSplit(table(spark, data), "seq_id", "text", split_side(F.col("split")), 0, jaccard=0.8)
+    assert sorted(map(tuple, found_pairs(cross.overlaps()).collect())) == want
+    about = {i: (s, f, y) for i, _, s, f, y in data}
+    counted = {}
+    for p in want:
+        t, h = sorted(p, key=lambda i: about[i][0] != "train")
+        c = counted.setdefault(about[h][:2], [0, set(), 0])
+        c[0] += 1
+        c[1].add(h)
+        c[2] += about[t][2] is not None and about[t][2] == about[h][2]
+    got = {(r["split"], r["source"]): (r["pairs"], r["held_rows"], r["same_label"]) for r in report(cross, table(spark, data), "seq_id").collect()}
+    assert got == {k: (n, len(h), y) for k, (n, h, y) in counted.items()}
 
 
 def test_weighted_cosine_against_brute_force(spark):
