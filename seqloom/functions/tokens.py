@@ -68,8 +68,10 @@ def pieces_of(word: str, vocabulary: dict[str, int]) -> list[int]:
     return ids
 
 
-def wordpiece(spark: SparkSession, vocabulary: dict[str, int], max_length: int = 256, longest: int = 100):
-    """A pandas UDF text → input_ids. Each call pads to nothing; see ``padded``."""
+def wordpiece(spark: SparkSession, vocabulary: dict[str, int], max_length: int = 256, longest: int = 100, pad: str | None = None):
+    """A pandas UDF text → input_ids of at most ``max_length``; words of more than
+    ``longest`` characters are unknown. ``pad``: None for none, ``max_length``, or
+    ``longest`` for the longest text of the Arrow batch, as a model's call needs it."""
     shared = spark.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("array<int>")
@@ -92,6 +94,7 @@ def wordpiece(spark: SparkSession, vocabulary: dict[str, int], max_length: int =
                     if len(ids) >= max_length - 2:
                         break
                 rows.append([START, *ids[: max_length - 2], END])
-            yield pd.Series(rows)
+            width = {None: 0, "max_length": max_length, "longest": max(map(len, rows), default=0)}[pad]
+            yield pd.Series([r + [PAD] * (width - len(r)) for r in rows])
 
     return encode

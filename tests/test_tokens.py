@@ -33,3 +33,6 @@ def test_wordpiece(spark):
     df = spark.createDataFrame([("Unlock=CAFÉ zzz",), (None,)], "t string")
     got = [r[0] for r in df.select(wordpiece(spark, vocabulary)("t")).collect()]
     assert got == [[101, 5, 6, 8, 7, 100, 102], [101, 102]]
+    for pad, width in (("longest", 7), ("max_length", 12)):
+        rows = [r[0] for r in df.coalesce(1).select(wordpiece(spark, vocabulary, 12, pad=pad)("t")).collect()]
+        assert [len(r) for r in rows] == [width, width] and rows[1][:2] == [101, 102]
