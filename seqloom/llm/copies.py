@@ -152,7 +152,7 @@ def repeat_filter(keyed: DataFrame, rows: int, bits_a_row: int = 12, max_bytes:
 
     partial = keyed.select("key").where("key is not null").mapInArrow(build, "seg long, seen binary, again binary")
     merged = partial.groupBy("seg").applyInPandas(merge, "seg long, bits binary")
-    return segments, {r["seg"]: bytes(r["bits"]) for r in merged.toLocalIterator()}
+    return segments, {r["seg"]: bytes(r["bits"]) for r in merged.collect()}
 
 
 def possible_repeats(keyed: DataFrame, segments: int, filled: dict[int, bytes]) -> DataFrame:

@@ -81,7 +81,7 @@ def max_weights(reps: DataFrame, side: int, freq: np.ndarray, total: int, scheme
 
     out = np.zeros(W.SLOTS, np.float32)
     own = reps.where(F.col("side").bitwiseAND(side) != 0).select("toks")
-    for r in own.mapInArrow(run, "part long, at binary, w binary").groupBy("part").applyInPandas(merge, "part long, w binary").toLocalIterator():
+    for r in own.mapInArrow(run, "part long, at binary, w binary").groupBy("part").applyInPandas(merge, "part long, w binary").collect():  # SLOTS weights
         out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["w"], np.float32)
     return out
 

@@ -76,7 +76,7 @@ def sketch(sets: DataFrame, column: str = "toks", rows: int = 200_000) -> np.nda
 
     merged = sets.select(column).mapInArrow(count, "part long, at binary, n binary").groupBy("part").applyInPandas(merge, "part long, n binary")
     total = np.zeros(SLOTS, np.uint32)
-    for r in merged.toLocalIterator():
+    for r in merged.collect():  # SLOTS counters
         total[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["n"], "<u4")
     return total
 
