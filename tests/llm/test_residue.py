@@ -67,3 +67,14 @@ def test_tables(spark):
         kept = [r.id for r in without_residue(df, "doc_id", "text", "source", ("bridge",), most=most).collect()]
         assert sorted(kept) == [2, 2, 3, 4, 5, 20]
     assert residue(df.limit(0), "doc_id", "text", "source").count() == 0
+
+
+@pytest.mark.parametrize("text", ["Eufugi velita culpam nostrudo dolora duisa. Veniam.", "Pariatu magnam occaeca velita laborin desera.", "Vivamus sagittis lacus vel augue laoreet rutrum faucibus.", "Dolorém ullamco nisia.", "Contenido pendiente. Contenido pendiente."])
+def test_latin_filler_without_lorem(text):
+    assert evidence(normal(text)).get("filler")
+    assert evidence(normal(f"# Bridge / Chain #7\n\nNo funds were lost.\n\n{text}\n\n-- someone")).get("filler")
+
+
+@pytest.mark.parametrize("text", ["El error de la página no está pendiente.", "Labor, elite officials and temporary exceptions.", "Name, site, nullable, under, auto, tells.", "The cursor of the animal site met an error in just one name."])
+def test_latin_looking_words_are_no_filler(text):
+    assert not evidence(normal(text))
