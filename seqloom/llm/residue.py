@@ -66,8 +66,10 @@ _PLACEHOLDER = re.compile(r"(?=[{$#<%@_*«:&\[(【X])(?:" + "|".join(f"(?:{p})"
 _MARK = re.compile(r"(?=[#\[%_?XunUNTtF])(?:" + "|".join(f"(?:{p})" for p in MARKS) + ")")
 #: Texts without any of these hold no mark.
 _HINTS = ("undefined", "UNDEFINED", "null", "NULL", "NaN", "nan", "NAN", "Nan", "naN", "TBD", "tbd", "TODO", "FIXME", "#", "[o", "[O", "%s", "%d", "____", "???", "XX", "xx")
-#: Words of sentences that discuss a mark as such.
-_ABOUT = re.compile(r"\b(?:the word|that word|words?|turned|instead of|spelled|literal|field|column|means|marks|stands for|called|named)\b", re.I)
+#: What stands around a mark that a sentence discusses as such, next to the mark or
+#: naming it again; the same words elsewhere in the sentence say nothing about the mark.
+_ABOUT_BEFORE = re.compile(r"(?:\b(?:words?|literals?|strings?|spelled|(?:fields?|columns?|variables?|values?|constants?) (?:named|called)|(?:turn(?:s|ed)?|chang(?:es|ed)|convert(?:s|ed)?) [^,;:]{0,80}\binto|(?:show(?:s|ed)?|print(?:s|ed)?|wrote|writes?) [^,;:]{0,80}\binstead of))\s+(?:an? |the )?$", re.I)
+_ABOUT_AFTER = re.compile(r"\s*(?:(?:means?|marks|stands? for|is (?:an? |the )?(?:word|literal|mark|string|placeholder))\b|(?:fields?|columns?|literals?|words?|marks?)\b)|.*\b(?:that|this|the same) word\b", re.I)
 
 HTTP = r"(?:bad request|unauthorized|payment required|forbidden|(?:page |file )?not found|method not allowed|request time-?out|conflict|gone|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out)"
 SCRIPT = r"(?:java ?script|js|(?:client-side )?scripts?|scripting|cookies)"
@@ -248,7 +250,7 @@ def evidence(plain: str) -> dict[str, int]:
     for m in _MARK.finditer(own) if any(h in own for h in _HINTS) else ():
         start = max(own.rfind(c, 0, m.start()) for c in "\n.。!！") + 1
         stop = min((i for c in "\n.。!！" if (i := own.find(c, m.end())) >= 0), default=len(own))
-        if not _ABOUT.search(own[start:stop]):
+        if not (_ABOUT_BEFORE.search(own[start : m.start()]) or _ABOUT_AFTER.match(own[m.end() : stop])):
             found["mark"] = found.get("mark", 0) + 1
     for s in sentences(own):
         if "\x00" in s or len(s) > 400:

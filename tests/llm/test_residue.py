@@ -78,3 +78,13 @@ def test_latin_filler_without_lorem(text):
 @pytest.mark.parametrize("text", ["El error de la página no está pendiente.", "Labor, elite officials and temporary exceptions.", "Name, site, nullable, under, auto, tells.", "The cursor of the animal site met an error in just one name."])
 def test_latin_looking_words_are_no_filler(text):
     assert not evidence(normal(text))
+
+
+@pytest.mark.parametrize("text", ["Nobody could say why Yuandca received TBD OST when the lock named another recipient.", "Nobody could say why ??? received 820 TRN when the lock named another recipient.", "The second column shows that null was paid to the field office.", "In other words, the fee turned out to be NaN for a week."])
+def test_marks_beside_unrelated_words(text):
+    assert evidence(normal(text)).get("mark")
+
+
+@pytest.mark.parametrize("text", ["THE WORD TODO IN THE CONTRACT OF X MARKS 7 OPEN POINTS.", "The column named TBD was dropped.", "There TBD means that nobody has decided.", "The parser wrote 0 instead of null for a month.", "The null field was dropped."])
+def test_marks_that_a_sentence_names(text):
+    assert not evidence(normal(text))
