@@ -1,11 +1,14 @@
 """Problem 9: template residue and error-page text.
 
 Each document's address slug (site, bridge and whatever columns name it), its title
-and its body are compared. The detectors of ``residue`` decide where residue stands in
-the text's own voice. Documents of little information whose body shares no term with
-slug or title, and consists of page furniture only, are suspects: they are flagged if
-the same body shape comes from several documents of several hosts, counted over the
-whole corpus.
+and its body are compared: every document gets the number of body terms that slug or
+title share, the number of different body terms, and the shape of its body, in which
+names and numbers are replaced. The detectors of ``residue`` decide where residue
+stands in the text's own voice. Shapes are counted over the whole corpus, by document
+and by host. A document without a hit is flagged if its shape comes from several
+documents of several hosts and either the detectors find filler, an error or a notice
+in at least half of them, or they are shells: furniture of a page only, of few terms,
+none of them in slug or title. Repetition alone flags nothing: reports repeat, too.
 
 Results for odd input: null, empty and blank texts are never flagged; null slug
 columns count as empty, a null host as a host of its own; rows with equal or null
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -30,28 +34,58 @@ from seqloom.plans.shared import checked_broadcast, materialize, rows_up_to, spr
 _FURNITURE = re.compile(r"(?:loading|please wait|redirecting|one moment|just a moment|bitte warten|un momento|veuillez patienter|正在加载|加载中|请稍候)\b.*|(?:request|ref|ray|trace) id.*|[45]\d\d|skip to content|back|←.*|©.*|(?:[\w ]{1,20}[|·>›]){1,8}[\w ]{1,20}|menu(?:  ?\w+){0,8}", re.I)
 _TITLE = re.compile(r"#{1,6} .*|(?:subject|betreff|asunto|objet|主题) ?: .*|\S+ \d+(?:\.\d+)+", re.I)
 _WORD = re.compile(r"\w+")
+_DIGIT = re.compile(r"\d")
 
 
-def suspect(plain: str, slug: str, least_words: int = 12) -> int | None:
-    """The shape of the body of a normalised text that may be an empty shell, else None."""
-    body = [x.strip() for x in plain.split("\n") if x.strip()]
-    title = body.pop(0) if body and _TITLE.fullmatch(body[0]) else ""
-    if not body or not all(_FURNITURE.fullmatch(x) for x in body):
-        return None
-    terms = {w.lower() for w in _WORD.findall(f"{slug} {title}")}
-    found = [w.lower() for x in body for w in _WORD.findall(x)]
-    if not found or len(set(found)) > least_words or terms & set(found):
-        return None
-    return xxhash.xxh3_64_intdigest(" ".join(re.sub(r"\w*\d\w*", "9", w) for w in found)) - (1 << 63)
+#: Words, names with the sign of a handle, and ends of sentences.
+_TOKEN = re.compile(r"@?\w+|[.!?。！？\n]")
+#: Kinds of residue that are a whole answer instead of a value inside one.
+_ANSWERS = frozenset(("filler", "error", "notice"))
+
+
+class Profile(NamedTuple):
+    """How much the body of a text says, and how: ``shared`` of its ``terms`` different
+    words stand in slug or title; ``furniture`` if its lines carry no content."""
 
+    terms: int
+    shared: int
+    furniture: bool
+    shape: int | None
 
-def _judge(text: str | None, slug: str) -> tuple[list[str], int | None]:
-    """The kinds of residue in a text, and its body shape if it is a suspect without any."""
+
+def profile(plain: str, slug: str) -> Profile:
+    """The comparison of a normalised text's body with slug and title. The shape is null
+    for a body of names and numbers only."""
+    body = [x.strip() for x in plain.split("\n") if x.strip()]
+    title = body.pop(0) if body and _TITLE.fullmatch(body[0]) else ""
+    known = {w.lower() for w in _WORD.findall(f"{slug} {title}")}
+    terms: set[str] = set()
+    shape: list[str] = []
+    first = True  # capitals mark a name inside a sentence only
+    for w in _TOKEN.findall("\n".join(body)):
+        if not (w[-1].isalnum() or w[-1] == "_"):
+            first = True
+            continue
+        low = w.lstrip("@").lower()
+        terms.add(low)
+        if w[0] == "@" or low in known or not first and w[0].isupper() and not w.isupper():
+            low = "@"
+        elif _DIGIT.search(low):
+            low = "9"
+        if low != "@" or not shape or shape[-1] != "@":
+            shape.append(low)
+        first = False
+    lexical = any(w not in ("@", "9") for w in shape)
+    return Profile(len(terms), len(terms & known), bool(body) and all(_FURNITURE.fullmatch(x) for x in body), xxhash.xxh3_64_intdigest(" ".join(shape)) - (1 << 63) if lexical else None)
+
+
+def _judge(text: str | None, slug: str, least_words: int = 12) -> tuple[list[str], bool, int | None]:
+    """The kinds of residue in a text, whether it is a shell without any, its body's shape."""
     if not text:
-        return [], None
+        return [], False, None
     plain = R.normal(text)
-    kinds = list(R.evidence(plain))
-    return kinds, None if kinds else suspect(plain, slug)
+    kinds, p = list(R.evidence(plain)), profile(plain, slug)
+    return kinds, not kinds and p.furniture and p.terms <= least_words and not p.shared, p.shape
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, host_col: str, slug_cols: tuple[str, ...]) -> DataFrame:
@@ -60,46 +94,53 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, host_col: str, slug_cols:
 
 
 def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, slug_cols: tuple[str, ...] = ()) -> DataFrame:
-    """(id, host, kinds, shape) of every row, written once: the texts are judged in one
-    pass, and what follows reads these few bytes a row."""
+    """(id, host, kinds, shell, shape) of every row, written once: the texts are judged in
+    one pass, and what follows reads these few bytes a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [_judge(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("slug").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), pa.array([k for k, _ in out], pa.list_(pa.string())), pa.array([x for _, x in out], pa.int64())], ["id", "host", "kinds", "shape"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), pa.array([k for k, _, _ in out], pa.list_(pa.string())), pa.array([e for _, e, _ in out], pa.bool_()), pa.array([x for _, _, x in out], pa.int64())], ["id", "host", "kinds", "shell", "shape"])
 
-    return materialize(_rows(docs, id_col, text_col, host_col, slug_cols).mapInArrow(run, "id long, host string, kinds array<string>, shape long"))
+    return materialize(_rows(docs, id_col, text_col, host_col, slug_cols).mapInArrow(run, "id long, host string, kinds array<string>, shell boolean, shape long"))
 
 
 def repeated_shapes(rows: DataFrame, least_docs: int = 3, least_hosts: int = 2) -> DataFrame:
-    """(shape) of the suspects' bodies that several documents of several hosts have."""
-    shapes = rows.where("shape is not null").groupBy("shape").agg(F.count(F.lit(1)).alias("docs"), F.approx_count_distinct(F.coalesce("host", F.lit(""))).alias("hosts"))
-    return shapes.where((F.col("docs") >= least_docs) & (F.col("hosts") >= least_hosts)).select("shape")
+    """(shape, answer) of the bodies that several documents of several hosts have, hosts
+    counted exactly: ``answer`` if the detectors flag at least half of these documents,
+    else the shells among them are as many."""
+    answer = F.arrays_overlap("kinds", F.array(*[F.lit(k) for k in sorted(_ANSWERS)]))
+    by_host = rows.where("shape is not null").groupBy("shape", "host").agg(F.count(F.lit(1)).alias("docs"), F.count_if(answer).alias("answers"), F.count_if("shell").alias("shells"))
+    shapes = by_host.groupBy("shape").agg(*[F.sum(c).alias(c) for c in ("docs", "answers", "shells")], F.count(F.lit(1)).alias("hosts"), F.count_if(F.col("shells") > 0).alias("shell_hosts"))
+    answers = (F.col("docs") >= least_docs) & (F.col("hosts") >= least_hosts) & (F.col("answers") * 2 >= F.col("docs"))
+    shells = (F.col("shells") >= least_docs) & (F.col("shell_hosts") >= least_hosts)
+    return shapes.where(answers | shells).select("shape", answers.alias("answer"))
 
 
 def residue(docs: DataFrame, id_col: str, text_col: str, host_col: str, slug_cols: tuple[str, ...] = ()) -> DataFrame:
-    """(id, kinds) of the documents that are residue; kind ``shell`` is a repeated empty shell."""
+    """(id, kinds) of the documents that are residue; kind ``shell`` is a repeated empty
+    shell or a body that the detectors flag elsewhere."""
     rows = judged(docs, id_col, text_col, host_col, slug_cols)
-    shells = rows.where("shape is not null").join(checked_broadcast(repeated_shapes(rows)), "shape", "left_semi")
+    shells = rows.where("size(kinds) = 0 and shape is not null").join(checked_broadcast(repeated_shapes(rows)), "shape").where("shell or answer")
     return rows.where("size(kinds) > 0").select("id", "kinds").unionByName(shells.select("id", F.array(F.lit("shell")).alias("kinds")))
 
 
 def without_residue(docs: DataFrame, id_col: str, text_col: str, host_col: str, slug_cols: tuple[str, ...] = (), most: int = 1_000_000) -> DataFrame:
     """(id, text) of the other documents. A second pass judges each text where it lies,
     so no text is shuffled; the repeated shapes it needs are broadcast up to ``most``,
-    beyond which the suspects meet them in a join."""
+    beyond which the texts meet them in a join."""
     shapes = materialize(repeated_shapes(judged(docs, id_col, text_col, host_col, slug_cols)))
     few = rows_up_to(shapes, most) <= most
-    known = docs.sparkSession.sparkContext.broadcast({r["shape"] for r in shapes.toLocalIterator()} if few else set())
+    known = docs.sparkSession.sparkContext.broadcast({r["shape"]: r["answer"] for r in shapes.toLocalIterator()} if few else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [_judge(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("slug").to_pylist())]
-            keep = pa.array([not k and x not in known.value for k, x in out], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array([x for _, x in out], pa.int64())], ["id", "text", "shape"]).filter(keep)
+            keep = pa.array([not k and not (x in known.value and (e or known.value[x])) for k, e, x in out], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array([e for _, e, _ in out], pa.bool_()), pa.array([x for _, _, x in out], pa.int64())], ["id", "text", "shell", "shape"]).filter(keep)
 
-    kept = _rows(docs, id_col, text_col, host_col, slug_cols).mapInArrow(run, "id long, text string, shape long")
+    kept = _rows(docs, id_col, text_col, host_col, slug_cols).mapInArrow(run, "id long, text string, shell boolean, shape long")
     if few:
-        return kept.drop("shape")
-    suspects = kept.where("shape is not null").join(shapes, "shape", "left_anti")
-    return kept.where("shape is null").unionByName(suspects).drop("shape")
+        return kept.select("id", "text")
+    met = kept.where("shape is not null").join(shapes, "shape", "left").where("answer is null or not (shell or answer)")
+    return kept.where("shape is null").select("id", "text").unionByName(met.select("id", "text"))

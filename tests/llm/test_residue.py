@@ -1,7 +1,7 @@
 import pytest
 
 from seqloom.llm.residue import evidence, normal
-from seqloom.llm.templates import residue, without_residue
+from seqloom.llm.templates import profile, residue, without_residue
 
 NAMES = ["user", "order.total", "SOURCE_CHAIN", "first_name"]
 SHAPES = [
@@ -88,3 +88,21 @@ def test_marks_beside_unrelated_words(text):
 @pytest.mark.parametrize("text", ["THE WORD TODO IN THE CONTRACT OF X MARKS 7 OPEN POINTS.", "The column named TBD was dropped.", "There TBD means that nobody has decided.", "The parser wrote 0 instead of null for a month.", "The null field was dropped."])
 def test_marks_that_a_sentence_names(text):
     assert not evidence(normal(text))
+
+
+def test_comparison_of_slug_title_and_body():
+    p = profile("# Wex / Ruo #7\n\nThe keeper of Wex saw 5 locks.", "site Wex")
+    assert (p.terms, p.shared, p.furniture) == (7, 1, False)
+    assert profile("The keeper of Anb saw 12 locks.", "site").shape == profile("The keeper of Wex saw 5 locks.", "site").shape
+    assert profile("Wex 5", "Wex").shape is None and profile("", "").shape is None
+
+
+def test_host_evidence_joins_detectors_and_shapes(spark):
+    bar = " ---- ~~ ----"
+    data = [(1, "Title goes here.", "a"), (2, "Title goes here", "b"), (3, "Title goes here" + bar, "b"), (4, "Title goes there" + bar, "b")]
+    data += [(10 + i, f"Loading {n} view", h) for i, (n, h) in enumerate([("of Anb", "a"), ("of Wex", "b"), ("of Ruo", None)])]  # shells that name different sites
+    data += [(20 + i, f"The nonce jumped by {i}, so {n} ignored it.", h) for i, (n, h) in enumerate([("Anb", "a"), ("Wex", "b"), ("Ruo", "c")])]  # content repeats, too
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    assert {r.id for r in residue(df, "doc_id", "text", "source").collect()} == {1, 2, 3, 10, 11, 12}
+    for most in (10, 0):
+        assert sorted(r.id for r in without_residue(df, "doc_id", "text", "source", most=most).collect()) == [4, 20, 21, 22]
