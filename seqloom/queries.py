@@ -137,13 +137,13 @@ def review_top(spark: SparkSession, d: str) -> DataFrame:
 
 def train_predict(spark: SparkSession, d: str) -> DataFrame:
     rows = labelled_text(spark, d)
-    model, _ = fit(rows.where("split = 'train'"), rows.where("split = 'validation'"), epochs=2, iterations=5, features=1024, flags=True)
+    model, _ = fit(rows.where("split = 'train'"), rows.where("split = 'validation'"), flags=True)
     return scored(model, rows.where("split = 'test'"))
 
 
 def train_metrics(spark: SparkSession, d: str) -> DataFrame:
     rows = labelled_text(spark, d)
-    model, history = fit(rows.where("split = 'train'"), rows.where("split = 'validation'"), epochs=2, iterations=5, features=1024, flags=True)
+    model, history = fit(rows.where("split = 'train'"), rows.where("split = 'validation'"), flags=True)
     last = evaluate(model, rows.where("split = 'test'")).asDict()
     return spark.createDataFrame([(h["epoch"], float(h["f1"]), float(last["f1"])) for h in history], "epoch int, f1 double, test_f1 double")
 

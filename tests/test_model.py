@@ -81,3 +81,30 @@ def test_programs_end_to_end(spark, tmp_path):
     assert predict(spark, str(tmp_path / "m" / "best"), renamed, text_col="body", out=str(tmp_path / "q")).columns == ["body", "pred", "prob_abnormal"]
     with pytest.raises(ValueError):
         predict(spark, str(tmp_path / "m" / "best"), renamed, text_col="nope", out=str(tmp_path / "q"))
+
+
+def test_queries_train_with_the_defaults_of_fit(monkeypatch):
+    import inspect
+
+    from seqloom import queries
+
+    given = []
+
+    class Seen(Exception):
+        pass
+
+    def spy(*args, **kwargs):
+        bound = inspect.signature(fit).bind(*args, **kwargs)
+        bound.apply_defaults()
+        given.append(tuple(bound.arguments[k] for k in ("epochs", "iterations", "features", "patience")))
+        raise Seen
+
+    class Rows:
+        where = lambda self, _: self
+
+    monkeypatch.setattr(queries, "fit", spy)
+    monkeypatch.setattr(queries, "labelled_text", lambda *_: Rows())
+    for query in (queries.train_predict, queries.train_metrics):
+        with pytest.raises(Seen):
+            query(None, "")
+    assert given == [(5, 10, 4096, 2)] * 2
