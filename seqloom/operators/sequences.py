@@ -31,6 +31,11 @@ def render(steps: DataFrame, sequence: str = "seq_id", order: tuple[str, ...] =
     return steps.where(F.col(sequence).isNotNull()).groupBy(sequence).agg(joined.alias("text"))
 
 
+def _rest(words: Column) -> Column:
+    """All words but the first."""
+    return F.slice(words, F.lit(2), F.size(words))
+
+
 def parsed(text: Column) -> Column:
     """array<struct<seq, op, attrs>> of ``OP key=value …; OP …``; null for null. Of a key
     that a step repeats, the last value counts."""
@@ -38,7 +43,7 @@ def parsed(text: Column) -> Column:
         (i + 1).cast("int").alias("seq"),
         F.split(F.trim(s), " ", 2)[0].alias("op"),
         F.map_from_entries(
-            F.transform(F.filter(F.slice(F.split(F.trim(s), r"\s+"), 2, 1000), lambda p: p.contains("=")), lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.substr(p, F.length(F.substring_index(p, "=", 1)) + 2).alias("value")))
+            F.transform(F.filter(_rest(F.split(F.trim(s), r"\s+")), lambda p: p.contains("=")), lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.substr(p, F.length(F.substring_index(p, "=", 1)) + 2).alias("value")))
         ).alias("attrs"),
     )
     return F.transform(F.split(text, ";"), step)
@@ -49,7 +54,7 @@ def steps_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pieces = F.posexplode(F.split(text_col, ";"))
     rows = df.where(F.col(text_col).isNotNull()).select(id_col, pieces.alias("pos", "piece"))
     words = F.filter(F.split("piece", r"\s+"), lambda x: x != "")
-    return rows.select(id_col, (F.col("pos") + 1).cast("int").alias("seq"), words.alias("words")).where(F.size("words") > 0).select(id_col, "seq", F.element_at("words", 1).alias("op"), F.slice("words", 2, 1000).alias("fields"))
+    return rows.select(id_col, (F.col("pos") + 1).cast("int").alias("seq"), words.alias("words")).where(F.size("words") > 0).select(id_col, "seq", F.element_at("words", 1).alias("op"), _rest(F.col("words")).alias("fields"))
 
 
 #: First and last legs of both families of transfers.

@@ -60,3 +60,9 @@ def test_steps_of_odd_texts(spark, rows):
 def test_review_queue(spark):
     df = spark.createDataFrame([(3, 0.9), (1, 0.9), (2, float("nan")), (4, None), (5, 0.4)], "id int, prob_abnormal float")
     assert [r.id for r in review_queue(df, "id").collect()] == [1, 3]
+
+
+def test_long_steps_keep_all_fields(spark):
+    df = spark.createDataFrame([(1, "LOCK " + " ".join(f"k{i}={i}" for i in range(2500))), (2, "LOCK"), (3, None), (4, ""), (5, "LOCK a=1; DST")], "seq_id long, text string")
+    assert {(r.seq_id, r.seq): len(r.fields) for r in steps_of(df, "seq_id", "text").collect()} == {(1, 1): 2500, (2, 1): 0, (5, 1): 1, (5, 2): 0}
+    assert {(r.seq_id, r.s.op): len(r.s.attrs) for r in df.select("seq_id", F.explode(parsed(F.col("text"))).alias("s")).collect()} == {(1, "LOCK"): 2500, (2, "LOCK"): 0, (4, ""): 0, (5, "LOCK"): 1, (5, "DST"): 0}
