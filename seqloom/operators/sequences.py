@@ -31,6 +31,15 @@ def render(steps: DataFrame, sequence: str = "seq_id", order: tuple[str, ...] =
     return steps.where(F.col(sequence).isNotNull()).groupBy(sequence).agg(joined.alias("text"))
 
 
+#: What counts as white space, and the full-width separators.
+_SPACE = r"[\s\x{85}\p{Z}]+"
+
+
+def _plain(text: Column) -> Column:
+    """The text without invisible characters, with ASCII separators."""
+    return F.translate(F.regexp_replace(text, r"\p{Cf}+", ""), "；＝", ";=")
+
+
 def _rest(words: Column) -> Column:
     """All words but the first."""
     return F.slice(words, F.lit(2), F.size(words))
@@ -39,21 +48,23 @@ def _rest(words: Column) -> Column:
 def parsed(text: Column) -> Column:
     """array<struct<seq, op, attrs>> of ``OP key=value …; OP …``; null for null. Of a key
     that a step repeats, the last value counts."""
+    trimmed = lambda s: F.regexp_replace(s, f"^{_SPACE}|{_SPACE}$", "")
     step = lambda s, i: F.struct(
         (i + 1).cast("int").alias("seq"),
-        F.split(F.trim(s), " ", 2)[0].alias("op"),
+        F.split(trimmed(s), _SPACE, 2)[0].alias("op"),
         F.map_from_entries(
-            F.transform(F.filter(_rest(F.split(F.trim(s), r"\s+")), lambda p: p.contains("=")), lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.substr(p, F.length(F.substring_index(p, "=", 1)) + 2).alias("value")))
+            F.transform(F.filter(_rest(F.split(trimmed(s), _SPACE)), lambda p: p.contains("=")), lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.substr(p, F.length(F.substring_index(p, "=", 1)) + 2).alias("value")))
         ).alias("attrs"),
     )
-    return F.transform(F.split(text, ";"), step)
+    return F.transform(F.split(_plain(text), ";"), step)
 
 
 def steps_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, seq, op, fields): one row a step of each text, fields as ``key=value`` words."""
-    pieces = F.posexplode(F.split(text_col, ";"))
+    """(id, seq, op, fields): one row a step of each text, fields as ``key=value`` words.
+    Invisible characters are dropped, white space and separators of any script count."""
+    pieces = F.posexplode(F.split(_plain(F.col(text_col)), ";"))
     rows = df.where(F.col(text_col).isNotNull()).select(id_col, pieces.alias("pos", "piece"))
-    words = F.filter(F.split("piece", r"\s+"), lambda x: x != "")
+    words = F.filter(F.split("piece", _SPACE), lambda x: x != "")
     return rows.select(id_col, (F.col("pos") + 1).cast("int").alias("seq"), words.alias("words")).where(F.size("words") > 0).select(id_col, "seq", F.element_at("words", 1).alias("op"), _rest(F.col("words")).alias("fields"))
 
 

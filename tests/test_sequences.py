@@ -66,3 +66,12 @@ def test_long_steps_keep_all_fields(spark):
     df = spark.createDataFrame([(1, "LOCK " + " ".join(f"k{i}={i}" for i in range(2500))), (2, "LOCK"), (3, None), (4, ""), (5, "LOCK a=1; DST")], "seq_id long, text string")
     assert {(r.seq_id, r.seq): len(r.fields) for r in steps_of(df, "seq_id", "text").collect()} == {(1, 1): 2500, (2, 1): 0, (5, 1): 1, (5, 2): 0}
     assert {(r.seq_id, r.s.op): len(r.s.attrs) for r in df.select("seq_id", F.explode(parsed(F.col("text"))).alias("s")).collect()} == {(1, "LOCK"): 2500, (2, "LOCK"): 0, (4, ""): 0, (5, "LOCK"): 1, (5, "DST"): 0}
+
+
+def test_unicode_spaces_separators_and_invisible_characters(spark):
+    texts = ["\ufeffLOCK tx=1 to=A; DST x=2", "\u200bLOCK\u3000tx=1\u00a0to=A；DST x＝2", "LO\u00adCK\u2003tx=1\u202fto=A\u3000;\u00a0DST x=2\u3000", "\u3000LOCK\ttx=1\u0085to=A;\nDST x=\u20602"]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_id long, text string")
+    found = steps_of(df, "seq_id", "text").collect()
+    assert {(r.seq_id, r.seq, r.op, *r.fields) for r in found} == {x for i in range(len(texts)) for x in ((i, 1, "LOCK", "tx=1", "to=A"), (i, 2, "DST", "x=2"))}
+    rows = df.select(parsed(F.col("text")).alias("steps")).collect()
+    assert [[(s.op, s.attrs) for s in r.steps] for r in rows] == [[("LOCK", {"tx": "1", "to": "A"}), ("DST", {"x": "2"})]] * len(texts)
