@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.words import WORD, codes_of, flat_words, hash_words, words
-from seqloom.plans.shared import rows_up_to, spread
+from seqloom.plans.shared import checked_broadcast, materialize, rows_up_to, spread
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: N-grams up to which the set is broadcast (some 150 bytes each).
@@ -86,6 +86,16 @@ def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("text is not null")
 
 
+def _halves(digest: int) -> tuple[int, int]:
+    return (digest >> 64) - (1 << 63), (digest & (2**64 - 1)) - (1 << 63)
+
+
+def _digests(text: str, size: int) -> list[int]:
+    """The 128-bit hash of every window of a text."""
+    found = words(text)
+    return [xxhash.xxh3_128_intdigest("\x1f".join(found[k : k + size])) for k in range(len(found) - size + 1)]
+
+
 def _gram_rows(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(id, g1, g2): the 128-bit hashes of all windows."""
 
@@ -124,14 +134,59 @@ def _broadcast(docs: DataFrame, items: DataFrame, item_id: str, text_col: str, s
     return docs.sparkSession.sparkContext.broadcast(Grams(rows, size))
 
 
+def _cut(text: str, firsts: list[int], size: int) -> tuple[str, int]:
+    """The text without the windows that start at these words, and how many spans that are."""
+    places = [m.span() for m in WORD.finditer(text)]
+    parts, at, spans = [], 0, 0
+    for i in sorted(set(firsts)):
+        start, end = places[i][0], places[i + size - 1][1]
+        if start > at or not spans:
+            parts.append(text[at:start])
+            spans += 1
+        at = max(at, end)
+    return "".join(parts) + text[at:], spans
+
+
+def _cut_by_join(docs: DataFrame, own: DataFrame, doc_id: str, text_col: str, size: int) -> DataFrame:
+    """``cleaned`` by a shuffle join of n-grams: windows of texts, named by the text's
+    128-bit hash, meet the items' n-grams; the matched positions go back to their texts."""
+    rows = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text_col).alias("text")))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [None if t is None else _halves(xxhash.xxh3_128_intdigest(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([k and k[j] for k in keys], pa.int64()) for j in (0, 1))], ["id", "text", "t1", "t2"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                t1, t2 = _halves(xxhash.xxh3_128_intdigest(text))
+                grams = [_halves(g) for g in _digests(text, size)]
+                n = len(grams)
+                yield pa.RecordBatch.from_arrays([pa.array([t1] * n, pa.int64()), pa.array([t2] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([g for g, _ in grams], pa.int64()), pa.array([g for _, g in grams], pa.int64())], ["t1", "t2", "first", "g1", "g2"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [_cut(t, f, size) if f else (t, 0) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int32())], ["doc", "text", "spans"])
+
+    seen = rows.select("text").where("text is not null").mapInArrow(placed, "t1 long, t2 long, first int, g1 long, g2 long")
+    firsts = materialize(seen.join(own.select("g1", "g2").distinct(), ["g1", "g2"]).groupBy("t1", "t2").agg(F.collect_set("first").alias("firsts")))
+    texts = rows.where("text is not null").mapInArrow(keyed, "id long, text string, t1 long, t2 long")
+    met = texts.join(checked_broadcast(firsts), ["t1", "t2"], "left").select("id", "text", "firsts")
+    nulls = rows.where("text is null").select("id", "text", F.lit(None).cast("array<int>").alias("firsts"))
+    return met.unionByName(nulls).mapInArrow(cut, "doc long, text string, spans int")
+
+
 def cleaned(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text_col: str = "text", size: int = 10, whole: bool = False, most: int = BROADCAST_GRAMS) -> DataFrame:
     """(doc, text, spans): the corpus without leaked spans, and how many were cut out of
     each text; with ``whole``, without the documents that hold any."""
     if whole:
         bad = leaks(docs, items, doc_id, item_id, text_col, size, most).select(F.col("doc").alias(doc_id)).distinct()
         return docs.join(bad, doc_id, "left_anti").select(F.col(doc_id).cast("long").alias("doc"), F.col(text_col).alias("text"), F.lit(0).alias("spans"))
-    if rows_up_to(_gram_rows(_items(items, item_id, text_col), "item", "text", size), most) > most:
-        raise ValueError("too many n-grams to cut spans by broadcast; use whole=True")
+    own = _gram_rows(_items(items, item_id, text_col), "item", "text", size)
+    if rows_up_to(own, most) > most:
+        return _cut_by_join(docs, own, doc_id, text_col, size)
     shared = _broadcast(docs, items, item_id, text_col, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,15 +194,7 @@ def cleaned(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text_c
             texts = b.column(1).to_pylist()
             cuts = [0] * len(texts)
             for r, found in shared.value.hits(texts).items():
-                places = [m.span() for m in WORD.finditer(texts[r])]
-                parts, at = [], 0
-                for i in sorted({i for i, _ in found}):
-                    start, end = places[i][0], places[i + size - 1][1]
-                    if start > at or not cuts[r]:
-                        parts.append(texts[r][at:start])
-                        cuts[r] += 1
-                    at = max(at, end)
-                texts[r] = "".join(parts) + texts[r][at:]
+                texts[r], cuts[r] = _cut(texts[r], [i for i, _ in found], size)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(cuts, pa.int32())], ["doc", "text", "spans"])
 
     return spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc long, text string, spans int")

@@ -67,3 +67,10 @@ def test_empty_tables(spark):
     assert leaks(d.limit(0), i, "doc_id", "item_id").count() == 0
     assert leaks(d, i.limit(0), "doc_id", "item_id").count() == 0
     assert cleaned(d, i.limit(0), "doc_id", "item_id").where("spans > 0").count() == 0
+
+
+def test_spans_are_cut_by_shuffle_as_by_broadcast(spark):
+    d, i = tables(spark, *fixture(3))
+    key = lambda r: (r.doc is None, r.doc or 0, r.text or "", r.spans)
+    by_broadcast, by_shuffle = (sorted(cleaned(d, i, "doc_id", "item_id", most=most).collect(), key=key) for most in (10**6, 3))
+    assert by_broadcast == by_shuffle and sum(r.spans for r in by_shuffle) > 4
