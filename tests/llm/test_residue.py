@@ -106,3 +106,17 @@ def test_host_evidence_joins_detectors_and_shapes(spark):
     assert {r.id for r in residue(df, "doc_id", "text", "source").collect()} == {1, 2, 3, 10, 11, 12}
     for most in (10, 0):
         assert sorted(r.id for r in without_residue(df, "doc_id", "text", "source", most=most).collect()) == [4, 20, 21, 22]
+
+
+@pytest.mark.parametrize("text", ["jkl; " * 500, "x" * 3000, "Pariatu magnam occaeca velita laborin desera " * 40, "text goes here " * 60, "The watcher of {{" + "long_variable_name_" * 20 + "}} raised the fee.", "Warning: query failed: " + "a" * 900])
+def test_no_bound_on_length(text):
+    assert evidence(normal(text))
+
+
+@pytest.mark.parametrize("text", ["word " * 30_000, "x" * 30_000 + "y", "text goes " * 3_000 + "away", "." * 30_000 + " id", "jkl; " * 6_000 + "z", "{{" + "a" * 30_000, "$a" * 15_000, "error 404 " * 3_000 + "rose"])
+def test_long_sentences_take_linear_time(text):
+    import time
+
+    start = time.process_time()
+    evidence(normal(text))
+    assert time.process_time() - start < 5
