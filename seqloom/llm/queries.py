@@ -13,7 +13,7 @@ from seqloom.llm.crosssplit import CrossSplit, found_pairs, report, split_side
 from seqloom.llm.leakage import cleaned, leaks
 from seqloom.llm.nearcopies import NearCopies
 from seqloom.llm.sampling import sample, supply, unmet
-from seqloom.llm.templates import residue, without_residue
+from seqloom.llm.templates import by_evidence, residue, without_residue
 from seqloom.llm.terms import marked_terms
 from seqloom.sources.tables import table
 
@@ -86,11 +86,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue(table(spark, d, "documents"), "doc_id", "text", "source", SLUG).select(F.col("id").alias("doc_id")).distinct()
 
 
+def p9_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return by_evidence(residue(table(spark, d, "documents"), "doc_id", "text", "source", SLUG))
+
+
 def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(table(spark, d, "documents"), "doc_id", "text", "source", SLUG).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_terms, p3_found, p3_sample, p3_supply, p4_found, p4_groups, p6_found, p6_report, p7_ids, p8_found, p8_clean, p9_found, p9_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_terms, p3_found, p3_sample, p3_supply, p4_found, p4_groups, p6_found, p6_report, p7_ids, p8_found, p8_clean, p9_found, p9_evidence, p9_clean)}
 
 _WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
 _TERMS = f"""

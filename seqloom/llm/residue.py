@@ -86,6 +86,7 @@ FILLER = [
     r"(?:x{2,}+[\s.,]*+)+",
     r"([^\s]{2,6}[;,.]?)(?: \1){4,}",
     r"(?:asdf|qwer|jkl|hjkl|qwertz|qwerty|wasd|yxcv|zxcv|fghj|uiop)\w*(?:[;,. ]+(?:asdf|qwer|jkl|hjkl|qwert[zy]|fghj|zxcv|yxcv|uiop)\w*)+",
+    r"(?:asdf|qwer|jkl|hjkl|qwertz|qwerty|wasd|yxcv|zxcv|fghj|uiop){3,}+\w{0,6}",
     r"(?:示例|占位|测试|样例)(?:文字|文本|内容|段落).{0,12}",
     r"(?:此处|这里|请在此|在此)(?:填写|输入|放置|添加|插入|填入).{0,12}",
     r"(?:内容|正文|页面|描述)?(?:即将上线|敬请期待|建设中|待补充|即将推出)",
@@ -232,42 +233,61 @@ def own_voice(text: str) -> str:
     return _MENTION.sub(" \x00 ", _FENCE.sub("\n", text))
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences and lines without list marks, in lower case."""
+def pieces(text: str) -> list[str]:
+    """Sentences and lines without list marks and final punctuation."""
     found = []
     for s in _SENTENCE.split(text):
         s = _LEAD.sub("", s.strip()).strip(_PAUSE)
         if s:
-            found.append(" ".join(s.lower().split()))
+            found.append(s)
     return found
 
 
-def evidence(plain: str) -> dict[str, int]:
-    """Number of hits of each kind of residue in the own voice of a normalised text."""
-    found: dict[str, int] = {}
-    if n := len(_WHOLE.findall(_FENCE.sub("\n", plain))):
-        found["error"] = n
-    own = own_voice(plain)
-    if n := len(_TRACE.findall(own)):
-        found["error"] = found.get("error", 0) + n
-    if n := sum(1 for _ in _PLACEHOLDER.finditer(own)):
-        found["placeholder"] = n
+def sentences(text: str) -> list[str]:
+    """Sentences and lines without list marks, in lower case."""
+    return [" ".join(s.lower().split()) for s in pieces(text)]
+
+
+def kind_of(sentence: str) -> str | None:
+    """What a whole sentence in lower case is: filler, an error, a notice, or nothing."""
+    if "\x00" in sentence:
+        return None
+    if ("lorem" in sentence or "ipsum" in sentence) and _LOREM.search(sentence) and not _LOREM_NAMED.search(sentence) or latin_filler(sentence):
+        return "filler"
+    rest = _REFERENCE.sub("", sentence) if " id" in sentence else sentence  # a status line may stand before the message, a reference after it
+    while head := _CODE.match(rest):
+        rest = rest[head.end() :]
+    for kind, pattern in _ANCHORED.items():
+        if pattern.fullmatch(sentence) or rest and rest != sentence and pattern.fullmatch(rest):
+            return kind
+    return None
+
+
+def hits(own: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans of placeholders, of marks of missing values, and of marks that their
+    sentence discusses as such, in a text's own voice."""
+    held = [m.span() for m in _PLACEHOLDER.finditer(own)]
+    marks: list[tuple[int, int]] = []
+    named: list[tuple[int, int]] = []
     for m in _MARK.finditer(own) if any(h in own for h in _HINTS) else ():
         start = max(own.rfind(c, 0, m.start()) for c in "\n.。!！") + 1
         stop = min((i for c in "\n.。!！" if (i := own.find(c, m.end())) >= 0), default=len(own))
-        if not (_ABOUT_BEFORE.search(own[start : m.start()]) or _ABOUT_AFTER.match(own[m.end() : stop])):
-            found["mark"] = found.get("mark", 0) + 1
+        about = _ABOUT_BEFORE.search(own[start : m.start()]) or _ABOUT_AFTER.match(own[m.end() : stop])
+        (named if about else marks).append(m.span())
+    return held, marks, named
+
+
+def pages(plain: str, own: str) -> int:
+    """Number of error pages and program traces in a normalised text."""
+    return len(_WHOLE.findall(_FENCE.sub("\n", plain))) + len(_TRACE.findall(own))
+
+
+def evidence(plain: str) -> dict[str, int]:
+    """Number of hits of each kind of residue in the own voice of a normalised text."""
+    own = own_voice(plain)
+    held, marks, _ = hits(own)
+    found = {k: n for k, n in (("error", pages(plain, own)), ("placeholder", len(held)), ("mark", len(marks))) if n}
     for s in sentences(own):
-        if "\x00" in s:
-            continue
-        if ("lorem" in s or "ipsum" in s) and _LOREM.search(s) and not _LOREM_NAMED.search(s) or latin_filler(s):
-            found["filler"] = found.get("filler", 0) + 1
-            continue
-        rest = _REFERENCE.sub("", s) if " id" in s else s  # a status line may stand before the message, a reference after it
-        while head := _CODE.match(rest):
-            rest = rest[head.end() :]
-        for kind, pattern in _ANCHORED.items():
-            if pattern.fullmatch(s) or rest and rest != s and pattern.fullmatch(rest):
-                found[kind] = found.get(kind, 0) + 1
-                break
+        if kind := kind_of(s):
+            found[kind] = found.get(kind, 0) + 1
     return found

@@ -1,7 +1,7 @@
 import pytest
 
 from seqloom.llm.residue import evidence, normal
-from seqloom.llm.templates import profile, residue, without_residue
+from seqloom.llm.templates import by_evidence, judge, profile, residue, without_residue
 
 NAMES = ["user", "order.total", "SOURCE_CHAIN", "first_name"]
 SHAPES = [
@@ -120,3 +120,44 @@ def test_long_sentences_take_linear_time(text):
     start = time.process_time()
     evidence(normal(text))
     assert time.process_time() - start < 5
+
+
+def _documents(spark):
+    long = "The keeper of {} saw {} locks wait. Every relay of {} keeps a ledger that nobody reads."
+    data = [(i, "The harbour lies still tonight", h) for i, h in enumerate("abc")]  # unknown to the detectors, whole body
+    data += [(3 + i, long.format(n, i, n) + "\n\nThe harbour lies still tonight", h) for i, (n, h) in enumerate([("Anb", "a"), ("Wex", "d")])]  # the same as a section
+    data += [(10 + i, long.format(n, i, n) + "\n\nAlways compare both legs before release", h) for i, (n, h) in enumerate([("Anb", "a"), ("Wex", "b"), ("Ruo", "c")])]  # repeated, never alone
+    data += [(20 + i, "Ledger of the keeper", "a") for i in range(5)]  # one host only
+    data += [(30 + i, f"Fees on {n} rose to {i} units.", h) for i, (n, h) in enumerate([("Anb", "a"), ("Wex", "b"), ("Ruo", "c")])]
+    data += [(40, "Fees on {{chain}} rose to 7 units.", "a"), (41, "Here TBD means that nobody has decided.", "b")]
+    data += [(50 + i, f"In {n} the column named {x} was dropped.", h) for i, (n, x, h) in enumerate([("Anb", 1, "a"), ("Wex", 2, "b"), ("Ruo", "TBD", "c"), ("Kop", 4, "c")])]
+    return spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+
+
+def test_mismatched_repeated_sentences_need_no_detector(spark):
+    df = _documents(spark)
+    found = {r.id: r.kinds for r in residue(df, "doc_id", "text", "source").collect()}
+    assert {i: k for i, k in found.items() if i < 30} == {i: ["response"] for i in range(5)}
+    assert found[40] == ["placeholder", "slot"] and 41 not in found
+    assert found[52] == ["slot"]  # its place is filled elsewhere, so the mark isn't discussed
+    assert set(found) == {0, 1, 2, 3, 4, 40, 52}
+    for most in (100, 0):
+        kept = {r.id for r in without_residue(df, "doc_id", "text", "source", most=most).collect()}
+        assert kept == {r.doc_id for r in df.collect()} - set(found)
+    assert {tuple(r) for r in by_evidence(residue(df, "doc_id", "text", "source")).collect()} == {("response", 5, 5), ("slot", 2, 1), ("placeholder", 1, 0)}
+
+
+def test_terms_are_compared_with_slug_title_and_other_sentences():
+    low = lambda text, slug: judge(text, slug).bits
+    assert low("Nothing moves here today", "site") == [1]
+    assert low("Nothing moves here today", "site nothing") == []  # a word of the slug names something
+    assert low("# Nothing\n\nNothing moves here today", "") == []
+    assert low("Nothing moves here today. Some days nothing helps", "") == [0, 0]
+    assert low("拒绝访问", "") == [3] and low("Page introuvable", "") == [3]
+    assert judge("Nothing moves here today", "").alone and not judge("Nothing moves here today. Gas rose to 52 units on Wex.", "").alone
+    assert judge(None, "") == judge("", "") and not judge(" ?! ", "").alone
+
+
+@pytest.mark.parametrize("text", ["asdfasdfasdfasdf", "Title goes here --------"])
+def test_runs_of_keys_and_trailing_dashes(text):
+    assert evidence(normal(text)).get("filler")
