@@ -212,7 +212,7 @@ _TRACE = re.compile(r"^[>\s]*(?:(?:unhandled|uncaught)\s(?:exception\s*:?\s*)?[\
 _SENTENCE = re.compile(r"\n+|(?<=[.!?。！？])\s+|(?<=[。！？])")
 #: What may stand before a sentence: list marks, quoting, times, names of chat speakers.
 _LEAD = re.compile(r"^(?:[>*#•·–—-]+\s*|\d{1,3}[.)]\s+|[A-Z]-\d+\s+|\[\d{1,2}:\d\d(?::\d\d)?\]\s*(?:[\w@]{2,30}:\s*)?)+")
-_PAUSE = " \t.!?。！？…:：;；,，*_|\"'“”„()[]»«"
+_PAUSE = " \t.!?。！？…:：;；,，*_|\"'“”„()[]»«-–—"
 
 
 def normal(text: str) -> str:
