@@ -11,7 +11,7 @@ from seqloom.functions.scores import argmax, softmax, with_predictions
 from seqloom.functions.tokens import encoded, mask, padded, truncated, whitespace_words, words
 from seqloom.operators.metrics import bad_scores, best_epochs, binary_metrics, early_stopping
 from seqloom.operators.model import evaluate, fit, scored
-from seqloom.operators.records import failures, parse_records, valid_rows
+from seqloom.operators.records import failures, parse_blocks, parse_records, valid_rows
 from seqloom.operators.sequences import broken_links, latest_delivery, legs, render, review_queue, steps_of
 from seqloom.sources.csvfiles import labelled
 from seqloom.sources.tables import table
@@ -26,7 +26,8 @@ def p5_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_recovered(spark: SparkSession, d: str) -> DataFrame:
-    return parse_records(table(spark, d, "raw_lines"), table(spark, d, "raw_files")).where("part > 0")
+    """Records of the files' text in blocks of lines, read with recovery."""
+    return parse_blocks(table(spark, d, "raw_lines"), table(spark, d, "raw_files"))
 
 
 def labelled_text(spark: SparkSession, d: str) -> DataFrame:
