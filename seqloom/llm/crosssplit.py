@@ -56,34 +56,11 @@ def max_weights(reps: DataFrame, side: int, freq: np.ndarray, total: int, scheme
     for every token of the slot."""
     shared = reps.sparkSession.sparkContext.broadcast(freq)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, met = np.zeros(W.SLOTS, np.float32), False
-        for b in batches:
-            if b.num_rows:
-                flat, counts = flat_of(b.column(0), np.uint64)
-                # rounded up, so that the bound holds in 32 bits
-                np.maximum.at(top, (flat & np.uint64(W.SLOTS - 1)).astype(np.int64), np.nextafter(_unit(flat, counts, shared.value, total, scheme).astype(np.float32), np.float32(2)))
-                met = True
-        if met:
-            at = np.flatnonzero(top)
-            part = at >> 12
-            ids = np.unique(part)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([(at[part == p] & 4095).astype("<u2").tobytes() for p in ids]), pa.array([top[at[part == p]].tobytes() for p in ids])], ["part", "at", "w"])
-
-    def merge(pdf):
-        import pandas as pd
-
-        top = np.zeros(4096, np.float32)
-        for at, w in zip(pdf["at"], pdf["w"]):
-            i = np.frombuffer(at, "<u2")
-            top[i] = np.maximum(top[i], np.frombuffer(w, np.float32))
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "w": [top.tobytes()]})
-
-    out = np.zeros(W.SLOTS, np.float32)
-    own = reps.where(F.col("side").bitwiseAND(side) != 0).select("toks")
-    for r in own.mapInArrow(run, "part long, at binary, w binary").groupBy("part").applyInPandas(merge, "part long, w binary").collect():  # SLOTS weights
-        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["w"], np.float32)
-    return out
+    def add(top: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
+        # rounded up, so that the bound holds in 32 bits
+        np.maximum.at(top, W.slots_of(flat), np.nextafter(_unit(flat, counts, shared.value, total, scheme).astype(np.float32), np.float32(2)))
+
+    return W.slot_table(reps.where(F.col("side").bitwiseAND(side) != 0), "toks", "<f4", add, np.maximum)
 
 
 def inverted_lists(reps: DataFrame, side: int, freq: np.ndarray, other_max: np.ndarray, total: int, threshold: float, scheme: str, listed: bool) -> DataFrame:
@@ -139,7 +116,6 @@ class CrossSplit:
         rows = df.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"), side.cast("int").alias("side")).where("side is not null")
         self.sets = W.token_sets(rows, "id_", "text_", "side")
         key = F.unhex(F.md5("toks"))
-        self.keyed = self.sets.select("id", "side", key.alias("key"))
         self.reps = materialize(self.sets.groupBy("toks").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.expr("bit_or(side)").alias("side")).withColumn("key", key))
         self.total = self.reps.count()
         freq = W.sketch(self.reps)
@@ -191,7 +167,8 @@ class CrossSplit:
         wanted = classes.join(linked, "rep", "left_semi").unionByName(classes.where("side = 3").join(linked, "rep", "left_anti")).drop("side")
         groups = materialize(wanted)
         total = groups.agg(F.sum("copies")).first()[0] or 0
-        return attach_groups(self.keyed, groups, "key", "copies", total).select("id", "side", "rep")
+        keyed = materialize(self.sets.select("id", "side", F.unhex(F.md5("toks")).alias("key")))
+        return attach_groups(keyed, groups, "key", "copies", total).select("id", "side", "rep")
 
     def overlaps(self) -> DataFrame:
         """(train, held): all pairs of a training and an evaluation row, copies expanded."""

@@ -2,10 +2,13 @@
 
 Texts with the same word set are one class. Classes are joined by prefix filtering
 under several global token orders: a candidate pair meets in the inverted list of a
-prefix token of the first order and must also share a prefix token under each of the
-other orders; larger sets probe the lists of smaller ones. Those are checked inside the join by 64-bit masks of the prefixes, so
-the filters are intersected before any set is fetched. What is left is verified on
-whole sets; no filter can lose a pair at or above the threshold.
+prefix token of the first order, from rare to frequent, and must also share a prefix
+token under two orders that each put another half of all tokens first; larger sets probe
+the lists of smaller ones. The other orders are checked inside the join by 64-bit masks
+of the prefixes, and so are the whole sets by 128-bit maps: two sets differ in at least
+as many tokens as their maps in bits. So the filters are intersected before any set is
+fetched. What is left is verified on whole sets; no filter can lose a pair at or above
+the threshold.
 
 Results for odd input: null and blank texts are in no class and no pair; a null
 identifier takes no part; rows with equal identifiers are one record only in the
@@ -29,9 +32,10 @@ from seqloom.plans.shared import BROADCAST_ROWS, attach_groups, materialize, row
 
 
 def prefix_rows(reps: DataFrame, freq: np.ndarray, share: Fraction) -> DataFrame:
-    """(key, rep, n, m1, m2): one row for each prefix token of the first order; the masks
-    have a bit for each prefix token of the other orders. ``share`` is the part of a set
-    that its partners share at least, so prefixes are n - ceil(share n) + 1 long."""
+    """(key, rep, n, m1, m2, b1, b2): one row for each prefix token of the first order.
+    The masks have a bit for each prefix token of the other orders, the maps one for
+    each token. ``share`` is the part of a set that its partners share at least, so
+    prefixes are n - ceil(share n) + 1 long."""
     table = reps.sparkSession.sparkContext.broadcast(freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,12 +52,41 @@ def prefix_rows(reps: DataFrame, freq: np.ndarray, share: Fraction) -> DataFrame
                 own = flat[W.ordered(flat, counts, table.value, order)]
                 bit = np.where(head, np.uint64(1) << (own * W.MIXES[2] >> np.uint64(58)), np.uint64(0))
                 masks.append(np.bitwise_or.reduceat(bit, starts).view(np.int64))
+            place = flat * W.MIXES[2] >> np.uint64(57)
+            for half in (0, 1):
+                bit = np.where(place >> np.uint64(6) == half, np.uint64(1) << (place & np.uint64(63)), np.uint64(0))
+                masks.append(np.bitwise_or.reduceat(bit, starts).view(np.int64))
             keys = flat[W.ordered(flat, counts, table.value, 0)][head].view(np.int64)
             row = np.repeat(np.arange(len(counts)), take)
             rep = np.asarray(b.column("rep"))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep[row]), pa.array(counts[row].astype(np.int32)), *[pa.array(m[row]) for m in masks]], ["key", "rep", "n", "m1", "m2"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep[row]), pa.array(counts[row].astype(np.int32)), *[pa.array(m[row]) for m in masks]], ["key", "rep", "n", "m1", "m2", "b1", "b2"])
+
+    return reps.select("rep", "toks").mapInArrow(run, "key long, rep long, n int, m1 long, m2 long, b1 long, b2 long")
+
 
-    return reps.select("rep", "toks").mapInArrow(run, "key long, rep long, n int, m1 long, m2 long")
+def met(reps: DataFrame, freq: np.ndarray, threshold: Fraction, keep_all: bool = False) -> DataFrame:
+    """(a, b) of the candidates: pairs that meet by the first order and pass the other
+    filters: the second order, the third, the maps. With ``keep_all`` all pairs that meet,
+    with (second, third, maps): what they pass.
+
+    A similar pair shares at least t of its larger set, and at least 2 t / (1 + t) of its
+    smaller one. So larger sets probe, with the longer prefixes, lists of the shorter
+    prefixes of smaller sets. Sets of one length that share too little have no shared
+    token in these, however frequent it is: a hot token brings together only what is
+    similar."""
+    t, u = threshold.numerator, threshold.denominator
+    probes, lists = prefix_rows(reps, freq, threshold).alias("x"), prefix_rows(reps, freq, 2 * threshold / (1 + threshold)).alias("y")
+    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.rep") < F.col("x.rep")))
+    length = F.col("y.n") * u >= F.col("x.n") * t
+    orders = [F.col(f"x.{m}").bitwiseAND(F.col(f"y.{m}")) != 0 for m in ("m1", "m2")]
+    differ = F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))
+    # |x| + |y| - 2 |both| is at most (1 - t) / (1 + t) of |x| + |y|
+    maps = differ * (u + t) <= (F.col("x.n") + F.col("y.n")) * (u - t)
+    on = (F.col("x.key") == F.col("y.key")) & smaller & length
+    pair = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
+    if keep_all:
+        return probes.join(lists, on).select(*pair, orders[0].alias("second"), orders[1].alias("third"), maps.alias("maps")).distinct()
+    return probes.join(lists, on & orders[0] & orders[1] & maps).select(*pair).distinct()
 
 
 def fetched(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -91,28 +124,26 @@ class NearCopies:
         self.sets = W.token_sets(df, id_col, text_col)
         #: (toks, rep, copies) of the classes; counted before the shuffle, so a hot class is one row a task.
         self.reps = materialize(self.sets.groupBy("toks").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-        freq = W.sketch(self.reps)
-        t, u = self.threshold.numerator, self.threshold.denominator
-        # A similar pair shares at least t of its larger set, and at least 2 t / (1 + t) of
-        # its smaller one. So larger sets probe, with the longer prefixes, lists of the
-        # shorter prefixes of smaller sets. Sets of one length that share too little have
-        # no shared token in these, however frequent it is: a hot token brings together
-        # only what is similar.
-        probes, lists = prefix_rows(self.reps, freq, self.threshold).alias("x"), prefix_rows(self.reps, freq, 2 * self.threshold / (1 + self.threshold)).alias("y")
-        smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.rep") < F.col("x.rep")))
-        length = F.col("y.n") * u >= F.col("x.n") * t
-        masks = (F.col("x.m1").bitwiseAND(F.col("y.m1")) != 0) & (F.col("x.m2").bitwiseAND(F.col("y.m2")) != 0)
-        met = probes.join(lists, (F.col("x.key") == F.col("y.key")) & smaller & length & masks)
-        candidates = materialize(met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
+        self.freq = W.sketch(self.reps)
+        candidates = materialize(met(self.reps, self.freq, self.threshold))
         #: (a, b, similarity): similar classes by their smallest identifiers.
         self.links = materialize(verified(fetched(candidates, self.reps), self.threshold))
 
+    def filtered(self) -> DataFrame:
+        """(step, pairs): how many pairs of classes are left after each filter."""
+        pairs = met(self.reps, self.freq, self.threshold, keep_all=True)
+        passed = [F.lit(True), F.col("second"), F.col("second") & F.col("third"), F.col("second") & F.col("third") & F.col("maps")]
+        names = ["first order", "second order", "third order", "maps"]
+        counts = pairs.agg(*[F.count_if(c).alias(n) for n, c in zip(names, passed)])
+        return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("step"), F.col(n).alias("pairs")) for n in names]))).unionByName(self.links.agg(F.lit("similar").alias("step"), F.count(F.lit(1)).alias("pairs")))
+
     def members(self) -> DataFrame:
         """(id, rep): the rows of classes of two or more."""
         key = F.unhex(F.md5("toks"))
         total = self.reps.agg(F.sum("copies")).first()[0] or 0
         groups = materialize(self.reps.where("copies > 1").select(key.alias("key"), "rep", "copies"))
-        return attach_groups(self.sets.select("id", key.alias("key")), groups, "key", "copies", total).select("id", "rep")
+        keyed = materialize(self.sets.select("id", key.alias("key")))
+        return attach_groups(keyed, groups, "key", "copies", total).select("id", "rep")
 
     def groups(self) -> DataFrame:
         """(id, cls, grp, links) of every row with a word: its class and group by their

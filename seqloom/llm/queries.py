@@ -55,6 +55,10 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("seq_id"), F.col("cls").alias("class_id"), F.col("grp").alias("group_id"), "links")
 
 
+def p4_filters(spark: SparkSession, d: str) -> DataFrame:
+    return NearCopies(table(spark, d, "sequences"), "seq_id", "text").filtered()
+
+
 def _across(spark: SparkSession, d: str) -> CrossSplit:
     return CrossSplit(table(spark, d, "sequences"), "seq_id", "text", split_side(F.col("split")), 0.0, jaccard=0.8)
 
@@ -94,7 +98,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(table(spark, d, "documents"), "doc_id", "text", "source", SLUG).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_terms, p3_found, p3_sample, p3_supply, p4_found, p4_groups, p6_found, p6_report, p7_ids, p8_found, p8_clean, p9_found, p9_evidence, p9_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_terms, p3_found, p3_sample, p3_supply, p4_found, p4_groups, p4_filters, p6_found, p6_report, p7_ids, p8_found, p8_clean, p9_found, p9_evidence, p9_clean)}
 
 _WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
 _TERMS = f"""

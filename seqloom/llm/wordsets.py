@@ -2,14 +2,15 @@
 
 Used by the similarity joins of problems 4 and 6. A text becomes its set of 64-bit
 word hashes. Any total order of tokens is right for prefix filtering as long as it
-is a function of the token alone; the orders here go from rare to frequent by a
-count sketch of fixed size, which is the only thing that is broadcast, and break
-ties by different mixes of the hash.
+is a function of the token alone. A token's place follows from its frequency in a count
+sketch of fixed size, which is the only thing that is broadcast, and from its class, a
+half of all tokens by a bit of the hash: order 0 goes from rare to frequent, order 1
+puts the first class in front of the second, order 2 the second in front of the first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -43,53 +44,70 @@ def token_sets(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFra
     return spread(rows).mapInArrow(run, "toks binary, " + ", ".join(f"`{n}` {types[n]}" for n in names))
 
 
-def sketch(sets: DataFrame, column: str = "toks", rows: int = 200_000) -> np.ndarray:
-    """Number of sets that hold a token of each slot, over all sets.
+PART = 1 << 12
 
-    Partitions send the slots they have met, so the shuffle follows the rows; what
-    reaches the driver is ``SLOTS`` counters."""
+
+def slot_table(sets: DataFrame, column: str, dtype: str, add: Callable[[np.ndarray, np.ndarray, np.ndarray], None], join: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """A table of ``SLOTS`` numbers over all sets: ``add`` enters a batch's tokens and set
+    sizes into a task's table, ``join`` puts two tables together.
+
+    Tasks send the slots they have met, in parts of ``PART`` slots. The parts are joined
+    in a stream, so a task holds the parts it owns, however many tasks sent them; what
+    reaches the driver is ``SLOTS`` numbers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        total, met = np.zeros(SLOTS, dtype), False
+        for b in batches:
+            if b.num_rows:
+                add(total, *flat_of(b.column(0), np.uint64))
+                met = True
+        if met:
             at = np.flatnonzero(total)
-            part = at >> 12
-            for p in np.unique(part):
-                own = at[part == p]
-                yield pa.RecordBatch.from_arrays([pa.array([int(p)]), pa.array([(own & 4095).astype("<u2").tobytes()]), pa.array([total[own].astype("<u4").tobytes()])], ["part", "at", "n"])
+            ids, starts = np.unique(at // PART, return_index=True)
+            own = np.split(at, starts[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([(x % PART).astype("<u2").tobytes() for x in own], pa.binary()), pa.array([total[x].tobytes() for x in own], pa.binary())], ["part", "at", "n"])
 
-        total, held = np.zeros(SLOTS, np.int64), 0
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
         for b in batches:
-            flat, _ = flat_of(b.column(0), np.uint64)
-            total += np.bincount((flat & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-            held += b.num_rows
-        if held:
-            parts = list(out(total))
-            yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            for part, at, n in zip(*(c.to_pylist() for c in b.columns)):
+                own = parts.setdefault(part, np.zeros(PART, dtype))
+                i = np.frombuffer(at, "<u2")
+                own[i] = join(own[i], np.frombuffer(n, dtype))
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], ["part", "n"])
+
+    merged = sets.select(column).mapInArrow(count, "part long, at binary, n binary").repartition("part").mapInArrow(merge, "part long, n binary")
+    table = np.zeros(SLOTS, dtype)
+    for r in merged.collect():  # SLOTS numbers
+        table[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["n"], dtype)
+    return table
+
+
+def slots_of(flat: np.ndarray) -> np.ndarray:
+    return (flat & np.uint64(SLOTS - 1)).astype(np.int64)
+
 
-    def merge(pdf):
-        import pandas as pd
+def sketch(sets: DataFrame, column: str = "toks") -> np.ndarray:
+    """Number of sets that hold a token of each slot, over all sets."""
 
-        total = np.zeros(4096, np.int64)
-        for at, n in zip(pdf["at"], pdf["n"]):
-            total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+    def add(total: np.ndarray, flat: np.ndarray, _: np.ndarray) -> None:
+        total += np.bincount(slots_of(flat), minlength=SLOTS).astype(np.uint32)
 
-    merged = sets.select(column).mapInArrow(count, "part long, at binary, n binary").groupBy("part").applyInPandas(merge, "part long, n binary")
-    total = np.zeros(SLOTS, np.uint32)
-    for r in merged.collect():  # SLOTS counters
-        total[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["n"], "<u4")
-    return total
+    return slot_table(sets, column, "<u4", add, lambda x, y: np.minimum(x.astype(np.int64) + y, 2**32 - 1).astype("<u4"))
 
 
 def ordered(flat: np.ndarray, counts: np.ndarray, freq: np.ndarray, order: int) -> np.ndarray:
-    """Indexes into ``flat`` that sort each row from rare to frequent tokens.
+    """Indexes into ``flat`` that sort each row by a token order.
 
-    The frequency counts by its logarithm, so that the orders differ in how they rank
-    tokens of similar frequency. The sort is stable over hashes in ascending order, so
-    tokens that tie in all else still stand in one order everywhere."""
+    The frequency counts by its logarithm; ties stand by a mix of the hash that differs
+    from order to order. The sort is stable over hashes in ascending order, so tokens
+    that tie in all else still stand in one order everywhere."""
     row = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
-    rank = (np.log2(freq[(flat & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.float64) + 1) * 4).astype(np.uint64)
+    rank = (np.log2(freq[slots_of(flat)].astype(np.float64) + 1) * 3).astype(np.uint64)
     mixed = flat * MIXES[order]
+    if order:
+        half = (flat * MIXES[1] >> np.uint64(63)) ^ np.uint64(order - 1)
+        rank |= half << np.uint64(7)
     return np.argsort((row << np.uint64(40)) | (rank << np.uint64(32)) | (mixed >> np.uint64(32)), kind="stable")
 
 

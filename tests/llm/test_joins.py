@@ -143,3 +143,22 @@ def test_a_hot_family_that_is_not_similar_is_never_paired(spark):
     assert found.links.count() == 0
     listed = inverted_lists(found.reps, 1, freq, max_weights(found.reps, 2, freq, found.total, "binary"), found.total, 8 / 9, "binary", True)
     assert listed.groupBy("key").count().agg(F.max("count")).first()[0] == 1
+
+
+def test_filters_lose_no_pair_and_drop_many(spark):
+    pick = random.Random(3)
+    data = []
+    for i in range(300):
+        own = [f"f{i}_{k}" for k in range(24)]
+        data += [(10 * i + j, " ".join(own[: 24 - j] + [f"e{i}_{j}_{k}" for k in range(j)])) for j in range(9)]
+    found = NearCopies(spark.createDataFrame(data, "seq_id long, text string").repartition(4), "seq_id", "text")
+    steps = [r.pairs for r in found.filtered().collect()]
+    want = sum(1 for i in range(300) for a in range(9) for b in range(a) if 10 * len(set(data[9 * i + a][1].split()) & set(data[9 * i + b][1].split())) >= 8 * len(set(data[9 * i + a][1].split()) | set(data[9 * i + b][1].split())))
+    assert steps == sorted(steps, reverse=True) and steps[-1] == want
+    assert (steps[3] - want) * 4 < (steps[0] - want) * 3
+
+
+def test_orders_differ(spark):
+    flat = np.arange(1, 25, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    first = [frozenset(W.ordered(flat, np.array([24]), np.ones(W.SLOTS, np.uint32), o)[:8].tolist()) for o in range(3)]
+    assert not first[1] & first[2] and len({*first}) == 3
