@@ -37,8 +37,9 @@ def _delete(jvm, conf, folder: str) -> None:
         pass
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and return the table.
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and return the table; with
+    ``by``, in a folder for each value of that column, so that a value is read alone.
 
     This cuts the lineage: a lost executor costs at most the tasks that read the
     table again, and later passes read columns, not recomputed rows. The table is
@@ -49,15 +50,23 @@ def materialize(df: DataFrame) -> DataFrame:
         _FOLDERS.add(folder)
         atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), folder)
     path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Estimated bytes up to which an input may be spread by a shuffle.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its source has fewer partitions than half of them, as a
-    single small file has. Larger inputs have more partitions and stay as they are."""
+    single small file has. Inputs of more than ``SPREAD_BYTES`` stay as they are, whatever
+    the cluster: their partitions are as large as the reader makes them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    plan = df._jdf.queryExecution()
+    small = int(plan.optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES
+    return df.repartition(cores) if small and 2 * plan.toRdd().getNumPartitions() < cores else df
 
 
 def rows_up_to(df: DataFrame, limit: int) -> int:

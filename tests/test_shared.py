@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from seqloom.plans.shared import attach_groups, checked_broadcast, materialize, shared_dir
+from seqloom.plans import shared
+from seqloom.plans.shared import attach_groups, checked_broadcast, materialize, shared_dir, spread
 
 
 def test_materialize_keeps_rows_and_types(spark):
@@ -23,3 +24,16 @@ def test_broadcast_is_only_hinted_within_the_bound(spark):
     big = spark.range(1000).withColumnRenamed("id", "k")
     plan = lambda side: big.hint("shuffle_merge").join(side, "k")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(checked_broadcast(small, 10)) and "broadcast" not in plan(checked_broadcast(small, 9))
+
+
+def test_materialize_by_a_column(spark, rows):
+    df = spark.range(20).select("id", (F.col("id") % 3).cast("int").alias("part"))
+    back = materialize(df, by="part")
+    assert rows(back.where("part = 1")) == rows(df.where("part = 1")) and sorted(back.columns) == sorted(df.columns)
+
+
+def test_only_small_inputs_are_spread(spark, monkeypatch):
+    df = spark.range(100).coalesce(1)
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(shared, "SPREAD_BYTES", 10)
+    assert spread(df).rdd.getNumPartitions() == 1
