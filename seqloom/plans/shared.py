@@ -65,7 +65,7 @@ def spread(df: DataFrame) -> DataFrame:
     the cluster: their partitions are as large as the reader makes them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution()
-    small = int(plan.optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES
+    small = int(str(plan.optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES
     return df.repartition(cores) if small and 2 * plan.toRdd().getNumPartitions() < cores else df
 
 
