@@ -6,6 +6,10 @@ more than once. Merging partitions, a bit that two partitions have both seen bec
 a bit of the second filter, so that filter holds every repeated hash. Only records
 that test positive are shuffled and grouped exactly; all others are singletons.
 
+The filter grows with the rows, twelve bits for each. What a worker holds does not: the
+hashes are written by range, as many ranges as keep each one's filter within a bound,
+and the ranges are filtered one after another.
+
 Results for odd input: blank and null texts are never copies, each is its own record;
 equal ids of repeated rows are members like any others; a null id counts as a copy
 but can't be a representative unless all ids of the group are null; an empty table
@@ -18,6 +22,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +94,12 @@ def canonical_keys(df: DataFrame, id_col: str, text_col: str, form=canonical) ->
 
 
 SEGMENT_BITS = 1 << 16
-PROBES = 4
+PROBES = 2
+#: Bits of the filter for each row: of a row without copies each bit is met by another
+#: row with a chance of 1 - exp(-2 / 12), so some 2.4 % of such rows are shuffled.
+BITS = 12
+#: Bound of one range's filter, in bytes.
+FILTER_BYTES = 64 << 20
 
 
 def _positions(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,14 +117,13 @@ def _packed(seg: np.ndarray, bits: np.ndarray) -> dict[int, np.ndarray]:
     return {int(part[0] // SEGMENT_BITS): (part % SEGMENT_BITS).astype(np.uint16) for part in np.split(flat, cut)} if len(flat) else {}
 
 
-def repeat_filter(keyed: DataFrame, rows: int, bits_a_row: int = 12, max_bytes: int = 64 << 20, chunk_rows: int = 2_000_000) -> tuple[int, dict[int, bytes]]:
+def repeat_filter(keyed: DataFrame, rows: int, bits_a_row: int = BITS, max_bytes: int = FILTER_BYTES, chunk_rows: int = 2_000_000) -> tuple[int, dict[int, bytes]]:
     """The merged filter of possibly repeated keys: number of segments, and the bits of
     each segment that has any.
 
     A partition sends only the positions it has set, two bytes each, so what is
-    shuffled follows the rows, not partitions times filter size. The merged filter is
-    at most ``max_bytes`` whatever the data; beyond the rows this serves well, more
-    records test positive and are grouped by shuffle, and the result stays exact."""
+    shuffled follows the rows, not partitions times filter size. Segments are merged in
+    a stream: a task holds those it owns, however many partitions sent them."""
     segments = 1
     while segments * SEGMENT_BITS < rows * bits_a_row and segments * SEGMENT_BITS // 8 < max_bytes:
         segments *= 2
@@ -139,20 +148,27 @@ def repeat_filter(keyed: DataFrame, rows: int, bits_a_row: int = 12, max_bytes:
         if parts:
             yield flush(parts)
 
-    def merge(pdf):
-        import pandas as pd
+    def packed(positions: bytes) -> np.ndarray:
+        bits = np.zeros(SEGMENT_BITS, bool)
+        bits[np.frombuffer(positions, np.uint16)] = True
+        return np.packbits(bits)
 
-        once, twice = np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
-        for seen, again in zip(pdf["seen"], pdf["again"]):
-            at = np.frombuffer(seen, np.uint16)
-            twice[at[once[at]]] = True
-            twice[np.frombuffer(again, np.uint16)] = True
-            once[at] = True
-        return pd.DataFrame({"seg": [pdf["seg"].iloc[0]] if twice.any() else [], "bits": [np.packbits(twice).tobytes()] if twice.any() else []})
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for seg, seen, again in zip(*(c.to_pylist() for c in b.columns)):
+                once, twice = held.setdefault(seg, (np.zeros(SEGMENT_BITS // 8, np.uint8), np.zeros(SEGMENT_BITS // 8, np.uint8)))
+                new = packed(seen)
+                twice |= once & new
+                once |= new
+                if again:
+                    twice |= packed(again)
+        found = {seg: twice for seg, (_, twice) in held.items() if twice.any()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["seg", "bits"])
 
     partial = keyed.select("key").where("key is not null").mapInArrow(build, "seg long, seen binary, again binary")
-    merged = partial.groupBy("seg").applyInPandas(merge, "seg long, bits binary")
-    return segments, {r["seg"]: bytes(r["bits"]) for r in merged.collect()}
+    merged = partial.repartition("seg").mapInArrow(merge, "seg long, bits binary")
+    return segments, {r["seg"]: bytes(r["bits"]) for r in merged.toLocalIterator()}  # max_bytes in all
 
 
 def possible_repeats(keyed: DataFrame, segments: int, filled: dict[int, bytes]) -> DataFrame:
@@ -187,10 +203,20 @@ def possible_repeats(keyed: DataFrame, segments: int, filled: dict[int, bytes])
 class Copies:
     """Groups of copies of the records of ``df``."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, form=canonical) -> None:
-        self.keyed = materialize(canonical_keys(df, id_col, text_col, form))
-        self.rows = self.keyed.count()
-        self.probed = possible_repeats(self.keyed, *repeat_filter(self.keyed, self.rows))
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, form=canonical, max_bytes: int = FILTER_BYTES) -> None:
+        self.rows = df.count()
+        ranges = max(1, -(-self.rows * BITS // (8 * max_bytes)))
+        keyed = canonical_keys(df, id_col, text_col, form)
+        if ranges == 1:
+            self.keyed = materialize(keyed)
+            self.probed = possible_repeats(self.keyed, *repeat_filter(self.keyed, self.rows, max_bytes=max_bytes))
+        else:
+            self.keyed = materialize(keyed.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int")), by="range")
+            parts = []
+            for i in range(ranges):
+                own = self.keyed.where(F.col("range") == i).select("id", "key")
+                parts.append(materialize(possible_repeats(own, *repeat_filter(own, -(-self.rows // ranges), max_bytes=max_bytes))))
+            self.probed = reduce(DataFrame.unionByName, parts)
         maybe = self.probed.where("maybe").select("id", "key")
         self.groups = maybe.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
         self.maybe = maybe

@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from seqloom.llm.copies import Copies, canonical, canonical_keys, possible_repeats, repeat_filter
+from pyspark.sql import functions as F
+
+from seqloom.llm.copies import BITS, Copies, canonical, canonical_keys, possible_repeats, repeat_filter
 
 A = "LOCK tx=0xAb to=Réné amount=85000; UNLOCK tx=0x2 to=Réné amount=85000.5"
 
@@ -68,3 +70,22 @@ def test_filter_has_no_false_negative(spark):
 def test_empty_table(spark):
     copies = Copies(spark.createDataFrame([], "seq_id long, text string"), "seq_id", "text")
     assert copies.pairs().count() == 0 and copies.records().count() == 0
+
+
+def test_ranges_of_hashes_give_the_same_groups(spark):
+    pick = random.Random(5)
+    data = [(i, f"LOCK tx={pick.randrange(30_000)} to=a" if i % 3 else "hot copy") for i in range(60_000)] + [(None, "hot copy"), (70_000, None), (70_001, "?")]
+    df = spark.createDataFrame(data, "seq_id long, text string").repartition(5)
+    copies = Copies(df, "seq_id", "text", max_bytes=1 << 14)
+    assert copies.keyed.select("range").distinct().count() == 6
+    assert sorted(map(tuple, copies.pairs().collect())) == brute(data)
+    assert copies.records().agg({"copies": "sum"}).first()[0] == len(data)
+
+
+def test_share_of_possible_repeats_at_a_load_of_billions(spark):
+    """A billion distinct rows are 23 ranges of 64 MB, 12 bits a row; a segment of 5,461
+    rows has the same load."""
+    n = 65_536 // BITS
+    keyed = spark.range(4 * n).select("id", F.unhex(F.md5(F.col("id").cast("string"))).alias("key")).repartition(6)
+    share = possible_repeats(keyed, *repeat_filter(keyed, 4 * n)).agg(F.avg(F.col("maybe").cast("int"))).first()[0]
+    assert share < 0.03
