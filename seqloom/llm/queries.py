@@ -42,6 +42,11 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return sample(table(spark, d, "sequences"), table(spark, d, "label_targets"), "seq_id").withColumnRenamed("id", "seq_id")
 
 
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    drawn = sample(table(spark, d, "sequences"), table(spark, d, "label_targets"), "seq_id")
+    return drawn.groupBy("plan_id", "split", "source", "label").agg(F.count(F.lit(1)).alias("sampled"))
+
+
 def p3_supply(spark: SparkSession, d: str) -> DataFrame:
     return supply(table(spark, d, "sequences"), table(spark, d, "label_targets"))
 
@@ -98,7 +103,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(table(spark, d, "documents"), "doc_id", "text", "source", SLUG).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_terms, p3_found, p3_sample, p3_supply, p4_found, p4_groups, p4_filters, p6_found, p6_report, p7_ids, p8_found, p8_clean, p9_found, p9_evidence, p9_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_terms, p3_found, p3_sample, p3_counts, p3_supply, p4_found, p4_groups, p4_filters, p6_found, p6_report, p7_ids, p8_found, p8_clean, p9_found, p9_evidence, p9_clean)}
 
 _WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
 _TERMS = f"""
@@ -151,5 +156,6 @@ SQL: dict[str, str] = {
     "p2_terms": _TERMS,
     "p2_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p3_supply": _SUPPLY,
+    "p3_counts": f"SELECT plan_id, split, source, label, least(wanted, have) AS sampled FROM ({_SUPPLY}) WHERE wanted > 0 AND have > 0",
     "p3_found": f"SELECT DISTINCT plan_id, source, label FROM ({_SUPPLY}) WHERE deficit > 0",
 }

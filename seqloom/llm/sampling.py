@@ -6,22 +6,23 @@ The accepted counts are then corrected exactly to the wanted ones, and categorie
 that the supply can't meet are reported.
 
 Results for odd input: null source, label or split is a category of its own and
-matches a null in the plan; identical rows are told apart by nothing, so they are
-accepted together and cut as ties by identifier; rows with a null identifier share one
-hash; null share, minimum or sample size count as 0; empty tables give empty results.
+matches a null in the plan; rows with equal identifiers are accepted together and cut
+like any others; rows with a null identifier are accepted one by one; null share, minimum or sample size count as 0; empty tables give empty results.
 A category listed twice in a plan counts with its larger share and minimum.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.plans.shared import checked_broadcast
+from seqloom.plans.shared import checked_broadcast, materialize
 
 CATEGORY = ["split", "source", "label"]
-#: Cells of the hash range by which the cut is located; only one is ranked.
-CELLS = 1024
+#: Bits of the hash by which the cut is located in one step.
+LEVEL_BITS = 10
 
 
 def _wanted() -> Column:
@@ -51,35 +52,57 @@ def unmet(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return supply(rows, targets).where("deficit > 0").drop("split")
 
 
-def sample(rows: DataFrame, targets: DataFrame, id_col: str, seed: int = 7, over: float = 1.05) -> DataFrame:
+def _accepted(rows: DataFrame, plans: DataFrame, id_col: str, seed: int, chance: Column, more: Column) -> DataFrame:
+    """(k, id, h, v), written once: the rows whose hash lies below ``chance`` and that pass
+    ``more``, in one scan. ``h`` is the hash as 62 bits; ``v`` tells equal identifiers
+    apart, and null ones, whose hash is drawn from it."""
+    slim = rows.select(F.col(id_col).cast("long").alias("id"), *CATEGORY).withColumn("v", F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id(), F.lit(seed)))
+    drawn = F.xxhash64("plan_id", F.coalesce("id", "v"), F.lit(seed))
+    met = _join(slim, plans, CATEGORY).withColumn("h", F.shiftrightunsigned(drawn, 2))
+    return materialize(met.where((F.col("h") < chance * F.lit(2.0**62)) & more).select("k", "id", "h", "v"))
+
+
+def _digit(level: int) -> Column:
+    """The ``level``-th group of ten bits of the order: those of ``h``, then those of ``v``."""
+    at = level * LEVEL_BITS
+    return (F.shiftrightunsigned("h", 62 - LEVEL_BITS - at) if at + LEVEL_BITS <= 60 else F.shiftrightunsigned("v", at - 60)).bitwiseAND((1 << LEVEL_BITS) - 1)
+
+
+def sample(rows: DataFrame, targets: DataFrame, id_col: str, seed: int = 7, over: float = 1.05, edge_rows: int = 100_000) -> DataFrame:
     """(plan_id, id, split, source, label) of the sampled rows: of each category the
     smaller of ``wanted`` and ``have``.
 
-    The correction needs no sort of a category: accepted rows are counted by cell of
-    their hash, the cell of the cut follows from running sums over ``CELLS`` numbers,
-    and only that cell's rows are ranked."""
+    Two scans: one counts the categories, one accepts rows, and only the accepted are
+    written. The cut is located among them without a sort of a category: rows are counted
+    by the first bits of their hash, the rows of the cut's cell by the next bits, until
+    a cell has at most ``edge_rows`` rows, which are ranked. If too few rows of a
+    category were accepted (rarely), a third scan brings the rest of that category."""
     want = F.least("wanted", "have")
     # accept a few standard deviations more than wanted, so that a second draw is rare
     chance = F.least(F.lit(1.0), (want * over + 4 * F.sqrt(want.cast("double")) + 4) / F.greatest("have", F.lit(1)))
-    plans = checked_broadcast(supply(rows, targets).where("wanted > 0 and have > 0").select("plan_id", *CATEGORY, want.alias("want"), chance.alias("chance")))
-    slim = rows.select(F.col(id_col).cast("long").alias("id"), *CATEGORY)
-    hashed = _join(slim, plans, CATEGORY)
-    hashed = hashed.withColumn("u", F.xxhash64("plan_id", "id", F.lit(seed)) / F.lit(2.0**64) + F.lit(0.5))
-    key = ["plan_id", *CATEGORY]
-    # Cells are even over the accepted range, however narrow, and over the rest of it.
-    inside = F.col("u") / F.col("chance")
-    cell = F.when(F.col("u") < F.col("chance"), F.floor(inside * CELLS)).otherwise(CELLS + F.floor(F.try_divide(F.col("u") - F.col("chance"), 1 - F.col("chance")) * CELLS))
-    hashed = hashed.withColumn("cell", F.coalesce(cell, F.lit(2 * CELLS)))
-    # Accepted rows lie below `chance`; a category of which too few were accepted (rarely)
-    # is filled from the rows that follow in the same hash order.
-    counted = hashed.groupBy(*key, "want", "cell").agg(F.count_if(F.col("u") < F.col("chance")).alias("accepted"), F.count(F.lit(1)).alias("all"))
-    by = Window.partitionBy(*key)
-    upto = by.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.withColumn("enough", F.sum("accepted").over(by) >= F.col("want")).withColumn("n", F.when(F.col("enough"), F.col("accepted")).otherwise(F.col("all")))
-    cells = counted.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    cut = checked_broadcast(cells.where("before < want and before + n >= want").select(*key, "enough", F.col("cell").alias("cut"), (F.col("want") - F.col("before")).alias("left")))
-    taken = _join(hashed, cut, key).where((F.col("u") < F.col("chance")) | ~F.col("enough"))
-    below = taken.where("cell < cut")
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("u", "id"))
-    edge = taken.where("cell = cut").withColumn("rank", rank).where("rank <= left")
-    return below.select("plan_id", "id", *CATEGORY).unionByName(edge.select("plan_id", "id", *CATEGORY))
+    plans = supply(rows, targets).where("wanted > 0 and have > 0").select("plan_id", *CATEGORY, want.alias("want"), chance.alias("chance"))
+    plans = checked_broadcast(materialize(plans.withColumn("k", F.monotonically_increasing_id())))
+    accepted = _accepted(rows, plans, id_col, seed, F.col("chance"), F.lit(True))
+    counts = materialize(plans.join(accepted.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k", "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    short = counts.where("n < want")
+    if not short.isEmpty():
+        rest = _accepted(rows, checked_broadcast(short), id_col, seed, F.lit(1.0), F.col("h") >= F.col("chance") * F.lit(2.0**62))
+        accepted = accepted.unionByName(rest)
+
+    wanted = checked_broadcast(plans.select("k", F.col("want").alias("left")))
+    open_, taken = accepted.join(wanted, "k"), []
+    for level in range(12):
+        at = open_.withColumn("digit", _digit(level))
+        by = Window.partitionBy("k")
+        cells = at.groupBy("k", "digit", "left").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(by.orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        cut = materialize(cells.where("before < left and before + n >= left").select("k", F.col("digit").alias("cut"), (F.col("left") - F.col("before")).alias("left"), "n"))
+        most = cut.where("n > left").agg(F.max("n")).first()[0]
+        # whole cells up to the cut, the cut's own where it is wanted whole
+        met = at.drop("left").join(checked_broadcast(cut), "k")
+        taken.append(met.where("digit < cut or digit = cut and n = left").select("k", "id"))
+        open_ = met.where("digit = cut and n > left").select("k", "id", "h", "v", "left")
+        if most is None or most <= edge_rows:
+            break
+    rank = F.row_number().over(Window.partitionBy("k").orderBy("h", "v"))
+    taken.append(open_.withColumn("rank", rank).where("rank <= left").select("k", "id"))
+    return reduce(DataFrame.unionByName, taken).join(plans, "k").select("plan_id", "id", *CATEGORY)

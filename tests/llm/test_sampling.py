@@ -65,3 +65,11 @@ def test_empty_tables(spark):
     assert sample(rows.limit(0), plans(spark), "seq_id").count() == 0
     assert sample(rows, plans(spark).limit(0), "seq_id").count() == 0
     assert unmet(rows.limit(0), plans(spark)).count() == 7
+
+
+def test_cut_by_several_steps(spark):
+    """Ties of one identifier, null identifiers and small edges: the counts stay exact."""
+    rows = spark.createDataFrame([(i % 3 if i % 2 else None, "train", "hot", 0) for i in range(900)] + [(i, "train", "hot", 0) for i in range(900)], "seq_id long, split string, source string, label long").repartition(3)
+    targets = spark.createDataFrame([(1, "train", "hot", 0, 0.5, 0, 1000), (2, "train", "hot", 0, 1.0, 0, 1000)], TARGETS)
+    for edge in (0, 5, 100_000):
+        assert Counter(r.plan_id for r in sample(rows, targets, "seq_id", edge_rows=edge).collect()) == {1: 500, 2: 1000}
