@@ -88,6 +88,10 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return cleaned(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "item_id").withColumnRenamed("doc", "doc_id")
 
 
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return p8_clean(spark, d).where("spans > 0").select("doc_id", "spans")
+
+
 SLUG = ("bridge", "doc_kind")
 
 
@@ -103,7 +107,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(table(spark, d, "documents"), "doc_id", "text", "source", SLUG).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_terms, p3_found, p3_sample, p3_counts, p3_supply, p4_found, p4_groups, p4_filters, p6_found, p6_report, p7_ids, p8_found, p8_clean, p9_found, p9_evidence, p9_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_terms, p3_found, p3_sample, p3_counts, p3_supply, p4_found, p4_groups, p4_filters, p6_found, p6_report, p7_ids, p8_found, p8_clean, p8_spans, p9_found, p9_evidence, p9_clean)}
 
 _WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
 _TERMS = f"""
@@ -123,6 +127,13 @@ _SUPPLY = """
 _GRAMS = """(SELECT {id}, unnest(list_transform(range(1, greatest(len(w) - 8, 1)), lambda i: array_to_string(w[i:i + 9], ' '))) AS g
   FROM (SELECT {id}, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: lower(x)) AS w FROM {table}))"""
 _P8 = f"SELECT DISTINCT a.doc_id, b.item_id FROM {_GRAMS.format(id='doc_id', table='documents')} a JOIN {_GRAMS.format(id='item_id', table='eval_items')} b ON a.g = b.g"
+_P8_SPANS = """
+  WITH doc_words AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: lower(x)) AS w FROM documents),
+  item_words AS (SELECT list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: lower(x)) AS w FROM eval_items),
+  grams AS (SELECT DISTINCT unnest(list_transform(range(1, greatest(len(w) - 8, 1)), lambda i: array_to_string(w[i:i + 9], ' '))) AS g FROM item_words),
+  places AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 8, 1))) AS i, w FROM doc_words),
+  met AS (SELECT doc_id, i FROM places JOIN grams ON g = array_to_string(w[i:i + 9], ' '))
+  SELECT doc_id, CAST(count(*) AS INT) AS spans FROM (SELECT doc_id, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM met) WHERE step IS NULL OR step >= 10 GROUP BY doc_id"""
 
 _OPS = "'" + "', '".join(sorted(OPS)) + "'"
 _KEYS = "'" + "', '".join(sorted(KEYS)) + "'"
@@ -148,6 +159,7 @@ _CROSS = "(SELECT id_a, id_b FROM pairs JOIN sequences x ON x.seq_id = id_a JOIN
 
 SQL: dict[str, str] = {
     "p8_found": _P8,
+    "p8_spans": _P8_SPANS,
     "p1_found": _CANON + " SELECT m AS id_a, seq_id AS id_b FROM (SELECT seq_id, min(seq_id) OVER (PARTITION BY c) AS m FROM canon) WHERE m <> seq_id",
     "p1_records": _CANON + " SELECT min(seq_id) AS seq_id, count(*) AS copies FROM canon GROUP BY c UNION ALL SELECT seq_id, 1 FROM sequences WHERE seq_id NOT IN (SELECT seq_id FROM canon)",
     "p4_found": _SIMILAR + " SELECT id_a, id_b FROM pairs",

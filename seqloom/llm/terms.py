@@ -155,7 +155,8 @@ def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def marked_terms(df: DataFrame, id_col: str, text_col: str, rare_below: int = 3, common_above: float = 0.3) -> DataFrame:
     """``term_counts`` with ``mark``: 'rare' in fewer than ``rare_below`` records,
-    'common' in more than ``common_above`` of the records, else null."""
-    records = df.where(F.col(text_col).isNotNull()).count()
+    'common' in more than ``common_above`` of the records, else null; rows with a null
+    identifier are no records."""
+    records = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).count()
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_above * records, "common")
     return term_counts(df, id_col, text_col).withColumn("mark", mark)

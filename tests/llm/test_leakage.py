@@ -1,5 +1,6 @@
 import random
 
+from seqloom.llm import leakage
 from seqloom.llm.leakage import cleaned, leaks, windows
 from seqloom.llm.words import words
 
@@ -74,3 +75,25 @@ def test_spans_are_cut_by_shuffle_as_by_broadcast(spark):
     key = lambda r: (r.doc is None, r.doc or 0, r.text or "", r.spans)
     by_broadcast, by_shuffle = (sorted(cleaned(d, i, "doc_id", "item_id", most=most).collect(), key=key) for most in (10**6, 3))
     assert by_broadcast == by_shuffle and sum(r.spans for r in by_shuffle) > 4
+
+
+def test_equal_hashes_of_other_words_are_no_leak(spark, monkeypatch):
+    """Hits are verified on words on both ways, however the hashes fall."""
+    monkeypatch.setattr(leakage, "hash_words", lambda found: leakage.np.full(len(found), 3, leakage.np.uint64))
+    items = [(1, " ".join(f"a{k}" for k in range(10)))]
+    docs = [(1, " ".join(f"b{k}" for k in range(10))), (2, items[0][1])]
+    texts = [t for _, t in docs]
+    assert leakage.Grams(items, 10).hits(texts) == {0: [], 1: [(0, 1)]}
+    rows = spark.createDataFrame([(0, 1, "x y"), (0, 1, "x z")], "id long, h long, gram string")
+    assert rows.join(rows.limit(1).select("h", "gram"), ["h", "gram"]).count() == 1
+
+
+def test_bytes_of_items_are_checked(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BROADCAST_BYTES", 100)
+    docs, items = fixture(4)
+    d, i = tables(spark, docs, items)
+    assert leakage.Items(i, "item_id", "text", 10, 10**6).shared is None
+    assert {tuple(r) for r in leaks(d, i, "doc_id", "item_id").collect()} == brute(docs, items)
+    for whole in (False, True):
+        kept = [sorted(map(str, cleaned(d, i, "doc_id", "item_id", whole=whole, most=m).collect())) for m in (10**6, 0)]
+        assert kept[0] == kept[1]
