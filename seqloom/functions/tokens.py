@@ -1,13 +1,16 @@
 """Token ids, truncation, padding and masks.
 
 Without a vocabulary a token's id is a hash of it, in native expressions. With a
-WordPiece vocabulary the pieces are looked up in an Arrow UDF.
+WordPiece vocabulary, read from a folder, the pieces are looked up in an Arrow UDF.
 """
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -32,13 +35,13 @@ def hashed_ids(tokens: Column, size: int = 30522) -> Column:
     return F.transform(tokens, lambda t: (F.pmod(F.xxhash64(t), F.lit(size - RESERVED)) + RESERVED).cast("int"))
 
 
-def truncated(ids: Column, max_length: int = 256) -> Column:
-    """At most ``max_length`` ids, the start and end tokens included."""
-    return F.concat(F.array(F.lit(START)), F.slice(ids, 1, max_length - 2), F.array(F.lit(END)))
+def truncated(ids: Column, max_length: int = 256, start: int | str = START, end: int | str = END) -> Column:
+    """At most ``max_length`` ids, or tokens, the start and end tokens included."""
+    return F.concat(F.array(F.lit(start)), F.slice(ids, 1, max_length - 2), F.array(F.lit(end)))
 
 
-def padded(ids: Column, length: int = 256, pad: int = PAD) -> Column:
-    """``ids`` filled up to ``length``; longer ones stay."""
+def padded(ids: Column, length: int = 256, pad: int | str = PAD) -> Column:
+    """``ids``, or tokens, filled up to ``length``; longer ones stay."""
     return F.concat(ids, F.array_repeat(F.lit(pad), F.greatest(F.lit(length) - F.size(ids), F.lit(0))))
 
 
@@ -53,6 +56,64 @@ def encoded(text: Column, max_length: int = 256, pad_to: int | None = None) -> C
     return ids if pad_to is None else padded(ids, pad_to)
 
 
+#: The ranges of ideographs that stand alone as words, and the ASCII
+#: symbols that count as punctuation beside the Unicode class.
+IDEOGRAPHS = "\u4e00-\u9fff\u3400-\u4dbf\U00020000-\U0002a6df\U0002a700-\U0002b73f\U0002b740-\U0002b81f\U0002b820-\U0002ceaf\uf900-\ufaff\U0002f800-\U0002fa1f"
+SYMBOLS = "$+<=>^`|~"
+
+
+@lru_cache(1)
+def _basic() -> tuple[re.Pattern, re.Pattern]:
+    """Patterns of a basic word and of what is dropped before."""
+    kind = {c: unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1)}
+    marks = "".join(re.escape(chr(c)) for c, k in kind.items() if k[0] == "P" or chr(c) in SYMBOLS)
+    gone = [c for c, k in kind.items() if k == "Mn" or k[0] == "C" and chr(c) not in "\t\n\r"]
+    spans: list[list[int]] = []
+    for c in gone:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    dropped = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+    return re.compile(f"[{IDEOGRAPHS}]|[{marks}]|[^\\s{IDEOGRAPHS}{marks}]+"), re.compile(f"[{dropped}]+")
+
+
+def basic_words(text: str | None) -> list[str]:
+    """Lower-case words without accents and control characters; every punctuation mark
+    (the underscore, too) and every ideograph is a word of its own."""
+    word, dropped = _basic()
+    text = (text or "").lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFD", text)
+    return word.findall(dropped.sub("", text))
+
+
+def basic_tokens(text: Column) -> Column:
+    """``basic_words`` of a column, by an Arrow UDF."""
+    return F.pandas_udf(lambda texts: texts.map(basic_words), "array<string>")(text)
+
+
+def load_vocabulary(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Token to id of ``folder``/vocab.txt, one token a line in the order of the ids."""
+    lines = spark.read.text(f"{folder.rstrip('/')}/vocab.txt", wholetext=True).first()
+    if lines is None:
+        raise ValueError(f"empty vocabulary in {folder}")
+    return {token: i for i, token in enumerate(lines[0].rstrip("\n").split("\n"))}
+
+
+def save_vocabulary(spark: SparkSession, vocabulary: dict[str, int], folder: str) -> None:
+    """The inverse of ``load_vocabulary``; ids without a token get a reserved name."""
+    names = {i: t for t, i in vocabulary.items()}
+    lines = [names.get(i, f"[unused{i}]") for i in range(max(names, default=-1) + 1)]
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/vocab.txt")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray("\n".join(lines) + "\n", "utf-8"))
+    finally:
+        out.close()
+
+
 def pieces_of(word: str, vocabulary: dict[str, int]) -> list[int]:
     """Greedy longest-match ids of a word; one unknown id if some part has no match."""
     ids, at = [], 0
@@ -76,25 +137,23 @@ def wordpiece(spark: SparkSession, vocabulary: dict[str, int], max_length: int =
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import re
-
-        split = re.compile(r"\w+|[^\w\s]")
+        known = shared.value
+        unknown, start, end, fill = (known.get(t, i) for t, i in (("[UNK]", UNKNOWN), ("[CLS]", START), ("[SEP]", END), ("[PAD]", PAD)))
         kept: dict[str, list[int]] = {}
         for texts in batches:
             rows = []
             for text in texts:
-                plain = "".join(c for c in unicodedata.normalize("NFD", (text or "").lower()) if unicodedata.category(c) != "Mn")
                 ids: list[int] = []
-                for w in split.findall(plain):
+                for w in basic_words(text):
                     if w not in kept:
                         if len(kept) > 200_000:
                             kept.clear()
-                        kept[w] = pieces_of(w, shared.value) if len(w) <= longest else [shared.value.get("[UNK]", UNKNOWN)]
+                        kept[w] = pieces_of(w, known) if len(w) <= longest else [unknown]
                     ids += kept[w]
                     if len(ids) >= max_length - 2:
                         break
-                rows.append([START, *ids[: max_length - 2], END])
+                rows.append([start, *ids[: max_length - 2], end])
             width = {None: 0, "max_length": max_length, "longest": max(map(len, rows), default=0)}[pad]
-            yield pd.Series([r + [PAD] * (width - len(r)) for r in rows])
+            yield pd.Series([r + [fill] * (width - len(r)) for r in rows])
 
     return encode

@@ -45,17 +45,21 @@ def _rest(words: Column) -> Column:
     return F.slice(words, F.lit(2), F.size(words))
 
 
+def _attrs(words: Column) -> Column:
+    """The map of ``key=value`` words; of a key that comes twice the last value counts."""
+    pairs = F.transform(F.filter(words, lambda p: p.contains("=")), lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.substr(p, F.length(F.substring_index(p, "=", 1)) + 2).alias("value")))
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    back = F.reverse(pairs)  # the last value of a key comes first
+    last = F.transform(keys, lambda k: F.get(back, (F.array_position(F.transform(back, lambda p: p["key"]), k) - 1).cast("int"))["value"])
+    plain = F.map_from_arrays(F.transform(pairs, lambda p: p["key"]), F.transform(pairs, lambda p: p["value"]))
+    return F.when(F.size(keys) == F.size(pairs), plain).otherwise(F.map_from_arrays(keys, last))
+
+
 def parsed(text: Column) -> Column:
     """array<struct<seq, op, attrs>> of ``OP key=value …; OP …``; null for null. Of a key
     that a step repeats, the last value counts."""
     trimmed = lambda s: F.regexp_replace(s, f"^{_SPACE}|{_SPACE}$", "")
-    step = lambda s, i: F.struct(
-        (i + 1).cast("int").alias("seq"),
-        F.split(trimmed(s), _SPACE, 2)[0].alias("op"),
-        F.map_from_entries(
-            F.transform(F.filter(_rest(F.split(trimmed(s), _SPACE)), lambda p: p.contains("=")), lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.substr(p, F.length(F.substring_index(p, "=", 1)) + 2).alias("value")))
-        ).alias("attrs"),
-    )
+    step = lambda s, i: F.struct((i + 1).cast("int").alias("seq"), F.split(trimmed(s), _SPACE, 2)[0].alias("op"), _attrs(_rest(F.split(trimmed(s), _SPACE))).alias("attrs"))
     return F.transform(F.split(_plain(text), ";"), step)
 
 

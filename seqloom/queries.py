@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.scores import argmax, softmax, with_predictions
-from seqloom.functions.tokens import encoded, mask, padded, truncated, whitespace_words, words
+from seqloom.functions.tokens import IDEOGRAPHS, SYMBOLS, basic_tokens, encoded, mask, padded, truncated, whitespace_words, words
 from seqloom.operators.metrics import bad_scores, best_epochs, binary_metrics, early_stopping
 from seqloom.operators.model import evaluate, fit, scored
 from seqloom.operators.records import failures, parse_blocks, parse_records, valid_rows
-from seqloom.operators.sequences import broken_links, latest_delivery, legs, render, review_queue, steps_of
+from seqloom.operators.sequences import broken_links, latest_delivery, legs, parsed, render, review_queue, steps_of
 from seqloom.sources.csvfiles import labelled
 from seqloom.sources.tables import table
 
@@ -96,8 +97,8 @@ def whitespace_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def truncate_pad(spark: SparkSession, d: str) -> DataFrame:
-    kept = F.slice(whitespace_words(F.coalesce("text", F.lit(""))), 1, 14)
-    return table(spark, d, "sequences", "seq_id", "text").select("seq_id", F.array_join(F.concat(kept, F.array_repeat(F.lit("[PAD]"), 14 - F.size(kept))), " ").alias("padded"))
+    tokens = truncated(whitespace_words(F.coalesce("text", F.lit(""))), 16, "[CLS]", "[SEP]")
+    return table(spark, d, "sequences", "seq_id", "text").select("seq_id", F.array_join(padded(tokens, 16, "[PAD]"), " ").alias("padded"))
 
 
 def attention_mask(spark: SparkSession, d: str) -> DataFrame:
@@ -111,6 +112,24 @@ def token_records(spark: SparkSession, d: str) -> DataFrame:
     return labelled_text(spark, d).select("seq_id", ids.alias("input_ids"), mask(ids).alias("attention_mask"), F.col("label").alias("labels"))
 
 
+def token_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """The shape of ``token_records``: length, tokens and padding of every record."""
+    ones = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    pads = F.size(F.filter("input_ids", lambda x: x == 0))
+    return token_records(spark, d).select("seq_id", F.size("input_ids").alias("length"), ones.alias("ones"), pads.alias("pads"), F.get("input_ids", F.lit(0)).alias("first"), F.get("input_ids", ones - 1).alias("last"), "labels")
+
+
+def word_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The words that a WordPiece vocabulary is applied to."""
+    return table(spark, d, "sequences", "seq_id", "text").where("text is not null").select("seq_id", F.array_join(basic_tokens(F.col("text")), " ").alias("tokens"))
+
+
+def label_cast(spark: SparkSession, d: str) -> DataFrame:
+    """``labelled`` of labels as strings, as a CSV file holds them."""
+    rows = table(spark, d, "sequences", "seq_id", "text", "label", "split").withColumn("label", F.concat(F.lit(" "), F.col("label").cast("string"), F.lit(" ")))
+    return labelled(rows, drop_null=True)
+
+
 def _steps(spark: SparkSession, d: str) -> DataFrame:
     return latest_delivery(table(spark, d, "bridge_steps", "step_id", "seq_id", "seq", "op", "attrs", "arrived_at"))
 
@@ -120,8 +139,12 @@ def render_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_steps(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "sequences", "seq_id", "text").withColumn("text", F.regexp_replace("text", r"[\t\n\r]+", " "))
-    return steps_of(rows.withColumn("text", F.regexp_replace("text", "[^\\x20-\\x7e]", "?")), "seq_id", "text").select("seq_id", "seq", "op", F.size("fields").alias("fields"))
+    return steps_of(table(spark, d, "sequences", "seq_id", "text"), "seq_id", "text").select("seq_id", "seq", "op", F.size("fields").alias("fields"))
+
+
+def parsed_attrs(spark: SparkSession, d: str) -> DataFrame:
+    steps = table(spark, d, "sequences", "seq_id", "text").select("seq_id", F.inline(parsed(F.col("text"))))
+    return steps.select("seq_id", "seq", "op", F.explode("attrs").alias("key", "value"))
 
 
 def leg_mismatch(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p5_found, p5_rows, p5_recovered, labelled_text, split_selection, label_counts, score_events, class_slice, metrics_all, metrics_by_run, score_health, stop_rule, best_epoch, best_before_stop,
-        token_count, whitespace_count, truncate_pad, attention_mask, token_records, render_steps, parse_steps, leg_mismatch, link_integrity, review_top, train_predict, train_metrics,
+        token_count, whitespace_count, truncate_pad, attention_mask, token_records, token_lengths, word_tokens, label_cast, render_steps, parse_steps, parsed_attrs, leg_mismatch, link_integrity, review_top, train_predict, train_metrics,
     )
 }
 
@@ -203,6 +226,13 @@ _LINKS = " UNION ALL ".join(f"SELECT seq_id, seq, upper(op) AS op, '{f}' AS fiel
 _TARGETS = " UNION ALL ".join(f"SELECT seq_id, '{f}' AS field, attrs['{k}'] AS value FROM {_STEPS} WHERE upper(op) = '{o}' AND attrs['{k}'] IS NOT NULL" for f, k, o in (("ref_lock", "tx", "LOCK"), ("ref_deposit", "tx", "DEPOSIT"), ("ref_parse", "id", "PARSE"), ("ref_auth", "id", "AUTHORIZE"), ("src_tx", "tx", "SRC")))
 _TOKENS = r"len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]'))"
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\t\n\x0b\f\r ]+'), lambda x: x <> '')"
+_PIECES = r"""(
+  WITH plain AS (SELECT seq_id, string_split(translate(regexp_replace(text, '\p{Cf}+', '', 'g'), '；＝', ';='), ';') AS pieces FROM sequences WHERE text IS NOT NULL),
+  rows AS (SELECT seq_id, unnest(range(1, len(pieces) + 1)) AS seq, unnest(pieces) AS piece FROM plain)
+  SELECT seq_id, seq, list_filter(regexp_split_to_array(piece, '[\s\x0b\x{85}\p{Z}]+'), lambda x: x <> '') AS words FROM rows)"""
+_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\p{Cf}\p{Co}]"
+_MARKS = "\\p{P}" + SYMBOLS.replace("^", "\\^")
+_CJK = re.sub(r"[^-]", lambda m: f"\\x{{{ord(m[0]):x}}}", IDEOGRAPHS)
 
 SQL: dict[str, str] = {
     "labelled_text": "SELECT seq_id, text, label, split FROM sequences WHERE text IS NOT NULL AND label IS NOT NULL",
@@ -218,17 +248,20 @@ SQL: dict[str, str] = {
     "best_before_stop": f"WITH s AS ({_STOP}), u AS (SELECT run_id, min(epoch) AS until FROM s WHERE stop GROUP BY run_id), k AS (SELECT s.* FROM s LEFT JOIN u USING (run_id) WHERE until IS NULL OR epoch <= until) " + _BEST.format(source="k"),
     "token_count": f"SELECT seq_id, CAST({_TOKENS} AS INT) AS tokens FROM sequences WHERE text IS NOT NULL",
     "whitespace_count": f"SELECT seq_id, CAST(len({_WORDS}) AS INT) AS n FROM sequences WHERE text IS NOT NULL",
-    "truncate_pad": f"SELECT seq_id, array_to_string(list_concat(({_WORDS})[1:14], list_transform(range(14 - least(len({_WORDS}), 14)), lambda x: '[PAD]')), ' ') AS padded FROM sequences",
+    "truncate_pad": f"SELECT seq_id, array_to_string(list_concat(['[CLS]'], ({_WORDS})[1:14], ['[SEP]'], list_transform(range(14 - least(len({_WORDS}), 14)), lambda x: '[PAD]')), ' ') AS padded FROM sequences",
     "attention_mask": f"SELECT seq_id, CAST(least({_TOKENS} + 2, 64) AS INT) AS ones, CAST(64 AS INT) AS length FROM sequences",
     "render_steps": f"""
       SELECT seq_id, string_agg(step, '; ' ORDER BY seq, step_id) AS text FROM (
         SELECT seq_id, seq, step_id, rtrim(upper(op) || ' ' || coalesce(array_to_string(list_transform(list_filter(list_sort(map_entries(attrs)), lambda e: e.value IS NOT NULL), lambda e: e.key || '=' || e.value), ' '), '')) AS step
         FROM {_STEPS} WHERE seq_id IS NOT NULL) GROUP BY seq_id""",
-    "parse_steps": r"""
-      WITH plain AS (SELECT seq_id, string_split(regexp_replace(regexp_replace(text, '[\t\n\r]+', ' ', 'g'), '[^\x20-\x7e]', '?', 'g'), ';') AS pieces FROM sequences WHERE text IS NOT NULL),
-      rows AS (SELECT seq_id, unnest(range(1, len(pieces) + 1)) AS seq, unnest(pieces) AS piece FROM plain),
-      named AS (SELECT seq_id, seq, list_filter(string_split(piece, ' '), lambda x: x <> '') AS words FROM rows)
-      SELECT seq_id, CAST(seq AS INT) AS seq, words[1] AS op, CAST(len(words) - 1 AS INT) AS fields FROM named WHERE len(words) > 0""",
+    "parse_steps": f"SELECT seq_id, CAST(seq AS INT) AS seq, words[1] AS op, CAST(len(words) - 1 AS INT) AS fields FROM {_PIECES} WHERE len(words) > 0",
+    "parsed_attrs": f"""
+      SELECT seq_id, CAST(seq AS INT) AS seq, op, split_part(word, '=', 1) AS key, arg_max(substr(word, strpos(word, '=') + 1), i) AS value FROM (
+        SELECT seq_id, seq, words[1] AS op, unnest(words[2:]) AS word, unnest(range(len(words) - 1)) AS i FROM {_PIECES} WHERE len(words) > 0)
+      WHERE contains(word, '=') GROUP BY ALL""",
+    "token_lengths": f"SELECT seq_id, CAST(256 AS INT) AS length, CAST(least({_TOKENS} + 2, 256) AS INT) AS ones, CAST(256 - least({_TOKENS} + 2, 256) AS INT) AS pads, CAST(101 AS INT) AS first, CAST(102 AS INT) AS last, label AS labels FROM sequences WHERE text IS NOT NULL AND label IS NOT NULL",
+    "word_tokens": f"SELECT seq_id, array_to_string(regexp_extract_all(strip_accents(lower(regexp_replace(text, '{_CONTROL}', '', 'g'))), '[{_CJK}]|[{_MARKS}]|[^\\s\\x0b\\x{{85}}\\p{{Z}}{_MARKS}{_CJK}]+'), ' ') AS tokens FROM sequences WHERE text IS NOT NULL",
+    "label_cast": "SELECT seq_id, text, label, split FROM sequences WHERE text IS NOT NULL AND label IS NOT NULL",
     "leg_mismatch": _LEGS.format(steps=_STEPS),
     "link_integrity": f"SELECT DISTINCT r.* FROM ({_LINKS}) r WHERE NOT EXISTS (SELECT 1 FROM ({_TARGETS}) t WHERE t.seq_id = r.seq_id AND t.field = r.field AND t.value = r.value)",
     "review_top": f"SELECT seq_id, round(CAST(p AS DOUBLE), 5) AS prob_abnormal FROM (SELECT seq_id, max(prob_abnormal) AS p FROM {_PREDICTIONS} WHERE run_id = 1 GROUP BY seq_id) WHERE p IS NOT NULL AND NOT isnan(p) AND p >= 0.5 ORDER BY p DESC, seq_id LIMIT 25",

@@ -75,3 +75,9 @@ def test_unicode_spaces_separators_and_invisible_characters(spark):
     assert {(r.seq_id, r.seq, r.op, *r.fields) for r in found} == {x for i in range(len(texts)) for x in ((i, 1, "LOCK", "tx=1", "to=A"), (i, 2, "DST", "x=2"))}
     rows = df.select(parsed(F.col("text")).alias("steps")).collect()
     assert [[(s.op, s.attrs) for s in r.steps] for r in rows] == [[("LOCK", {"tx": "1", "to": "A"}), ("DST", {"x": "2"})]] * len(texts)
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    df = spark.createDataFrame([("LOCK tx=1 to=A tx=2 x =y to=B tx=3; DST tx=1",)], "text string")
+    got = [s.attrs for s in df.select(parsed(F.col("text")).alias("steps")).first().steps]
+    assert got == [{"tx": "3", "to": "B", "": "y"}, {"tx": "1"}]

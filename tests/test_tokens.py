@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.functions.tokens import encoded, mask, padded, truncated, whitespace_words, wordpiece, words
+from seqloom.functions.tokens import basic_words, encoded, load_vocabulary, mask, padded, save_vocabulary, truncated, whitespace_words, wordpiece, words
+from seqloom.sources.csvfiles import read_csv
 
 
 def one(spark, column, **values):
@@ -36,3 +37,30 @@ def test_wordpiece(spark):
     for pad, width in (("longest", 7), ("max_length", 12)):
         rows = [r[0] for r in df.coalesce(1).select(wordpiece(spark, vocabulary, 12, pad=pad)("t")).collect()]
         assert [len(r) for r in rows] == [width, width] and rows[1][:2] == [101, 102]
+
+
+def test_basic_words():
+    assert basic_words("ref_lock=0xAb; É\u0301l\u200b\x07an 日本x ¿Qué? a\tb\u3000c €5 $6") == ["ref", "_", "lock", "=", "0xab", ";", "elan", "日", "本", "x", "¿", "que", "?", "a", "b", "c", "€5", "$", "6"]
+    assert basic_words(None) == basic_words("") == basic_words(" \n") == []
+
+
+PIECES = [*"lock deposit parse auth ##orize un ##lock src relay dst gas tx to amount ref id ts price limit used _ = ; alice bob carol mall ##ory eve zoe dave".split(), *"abcdefghijklmnopqrstuvwxyz0123456789", *["##" + c for c in "abcdefghijklmnopqrstuvwxyz0123456789"]]
+
+
+def test_wordpiece_of_the_seven_rows(spark, tmp_path):
+    """Each id is checked against the rule spelled out on its token."""
+    vocabulary = {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3, **{t: i + 4 for i, t in enumerate(dict.fromkeys(PIECES))}}
+    save_vocabulary(spark, vocabulary, str(tmp_path))
+    known = load_vocabulary(spark, str(tmp_path))
+    assert known == vocabulary
+    name = {i: t for t, i in known.items()}
+    rows = read_csv(spark, "tests/fixtures/train.csv").unionByName(read_csv(spark, "tests/fixtures/val.csv"))
+    got = rows.select("text", wordpiece(spark, known)("text").alias("ids")).collect()
+    assert len(got) == 7
+    for r in got:
+        pieces = [name[i] for i in r.ids]
+        assert pieces[0] == "[CLS]" and pieces[-1] == "[SEP]" and "[UNK]" not in pieces
+        assert "".join(p.removeprefix("##") for p in pieces[1:-1]) == "".join(r.text.lower().split())
+        assert pieces.count("_") == r.text.count("_") and pieces.count("ref") == r.text.count("ref_")
+    first = [name[i] for r in got if r.text.startswith("LOCK tx=0xA ") for i in r.ids]
+    assert first[1:20] == ["lock", "tx", "=", "0", "##x", "##a", "to", "=", "alice", "amount", "=", "1", "##0", "##0", ";", "deposit", "tx", "=", "0"]
