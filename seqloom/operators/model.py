@@ -1,27 +1,30 @@
 """Training and scoring of the default classifier.
 
-Hashed tokens, optionally with the flags of leg mismatch and broken links as features,
-go into a linear layer and a softmax of two outputs. A round of training is a warm
-start from the last round's weights; after each the validation metrics are taken, the
-model is saved, and training stops when F1 hasn't gained for some rounds.
+Hashed tokens, or the pieces of a WordPiece vocabulary, optionally with a flag of leg
+mismatch, go into a linear layer and a softmax of two outputs over sparse features. A
+round of training is a warm start from the last round's weights; after each the
+validation metrics are taken, the model is saved, and training stops when F1 hasn't
+gained for some rounds.
 """
 
 from __future__ import annotations
 
 import json
 import logging
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.scores import with_predictions
+from seqloom.functions.tokens import load_vocabulary, save_vocabulary, wordpiece
 from seqloom.operators.metrics import binary_metrics
 
 log = logging.getLogger("seqloom")
@@ -31,16 +34,35 @@ _FIRST = r"(?i)\\b(?:LOCK|SRC)\\b[^;|]*?\\b{}=([^\\s;|,]+)"
 _LAST = r"(?i)\\b(?:UNLOCK|DST)\\b[^;|]*?\\b{}=([^\\s;|,]+)"
 
 
-def _features(text_col: str, max_length: int, size: int, flags: bool) -> PipelineModel:
+def _pieces(vocabulary: dict[str, int], max_length: int) -> str:
+    """The SQL name of a vocabulary's WordPiece function, registered in the session."""
+    spark = SparkSession.getActiveSession()
+    name = f"wordpiece_{zlib.crc32(json.dumps([vocabulary, max_length]).encode()):08x}"
+    spark.udf.register(name, wordpiece(spark, vocabulary, max_length))
+    return name
+
+
+def _features(text_col: str, max_length: int, size: int, flags: bool, vocabulary: dict[str, int] | None = None) -> PipelineModel:
     """Tokens of at most ``max_length`` less two, hashed counts; with ``flags`` a token for
     differing legs, a documented departure from pure text."""
-    tokens = f"slice(regexp_extract_all(lower(coalesce(`{text_col}`, '')), '([\\\\p{{L}}\\\\p{{N}}_]+|[^\\\\s\\\\p{{L}}\\\\p{{N}}_])', 1), 1, {max_length - 2})"
+    if vocabulary is None:
+        tokens = f"slice(regexp_extract_all(lower(coalesce(`{text_col}`, '')), '([\\\\p{{L}}\\\\p{{N}}_]+|[^\\\\s\\\\p{{L}}\\\\p{{N}}_])', 1), 1, {max_length - 2})"
+    else:
+        tokens = f"cast({_pieces(vocabulary, max_length)}(`{text_col}`) as array<string>)"
     if flags:
         differs = " OR ".join(f"regexp_extract(`{text_col}`, '{_FIRST.format(k)}', 1) <> regexp_extract(`{text_col}`, '{_LAST.format(k)}', 1)" for k in ("to", "amount"))
         tokens = f"concat({tokens}, if(coalesce({differs}, false), array('[legs differ]'), array()))"
     return PipelineModel([SQLTransformer(statement=f"SELECT *, {tokens} AS _tokens FROM __THIS__"), HashingTF(inputCol="_tokens", outputCol="_features", numFeatures=size)])
 
 
+def with_text_col(model: PipelineModel, text_col: str) -> PipelineModel:
+    """``model`` reading its texts from another column."""
+    front = model.stages[0]
+    front.setStatement(front.getStatement().replace(f"`{model._text_col}`", f"`{text_col}`"))
+    model._text_col = text_col
+    return model
+
+
 def scored(model: PipelineModel, df: DataFrame, pred: str = "pred", prob: str = "prob_abnormal") -> DataFrame:
     """``df`` with the two columns, row for row; columns of these names are replaced."""
     inner = {"_tokens", "_features", "_raw", "_probability", "_prediction"}
@@ -52,31 +74,55 @@ def scored(model: PipelineModel, df: DataFrame, pred: str = "pred", prob: str =
     return row.withColumns({pred: F.col("__pred"), prob: F.col("__prob")}).drop("__pred", "__prob")
 
 
+def _layer(previous: LogisticRegressionModel | None, iterations: int) -> LogisticRegression:
+    """A softmax regression that starts from the weights of ``previous``."""
+    layer = LogisticRegression(family="multinomial", featuresCol="_features", labelCol="_label", predictionCol="_prediction", probabilityCol="_probability", rawPredictionCol="_raw", maxIter=iterations, regParam=0.0, standardization=False)
+    if previous is not None:
+        layer._java_obj.setInitialModel(previous._java_obj)
+    return layer
+
+
 def fit(
-    train: DataFrame, validation: DataFrame, *, text_col: str = "text", label_col: str = "label", epochs: int = 5, iterations: int = 10, batch_size: int = 8, max_length: int = 256, features: int = 4096, patience: int = 2, flags: bool = False, seed: int = 42, out_dir: str | None = None
+    train: DataFrame,
+    validation: DataFrame,
+    *,
+    text_col: str = "text",
+    label_col: str = "label",
+    epochs: int = 5,
+    iterations: int = 10,
+    batch_size: int = 8,
+    max_length: int = 256,
+    features: int = 4096,
+    patience: int = 2,
+    flags: bool = False,
+    seed: int = 42,
+    out_dir: str | None = None,
+    vocabulary: dict[str, int] | None = None,
 ) -> tuple[PipelineModel, list[dict]]:
     """The model of the best F1 (the earliest among equals) and the history of rounds.
 
-    ``batch_size`` is the number of rows stacked into one matrix product. Labels other
-    than 0 and 1 raise. Each round's model is kept in ``out_dir``/epoch=N."""
-    front = _features(text_col, max_length, features, flags)
-    label = F.when(F.col(label_col).isin(0, 1), F.col(label_col)).otherwise(F.raise_error(F.lit("labels are 0 and 1"))).cast("double")
-    data = front.transform(train.select(text_col, label.alias("_label"))).select("_label", "_features").persist()
+    Training and validation texts are turned into features once. A round is ``iterations``
+    steps of L-BFGS, each over all rows, so ``batch_size`` and ``seed`` change nothing.
+    Labels other than 0 and 1 raise. Each round's model is kept in ``out_dir``/epoch=N."""
+    front = _features(text_col, max_length, features, flags, vocabulary)
+    classes = {"ml_attr": {"type": "nominal", "vals": ["0", "1"], "name": "_label"}}
+
+    def featured(df: DataFrame, label: Column) -> DataFrame:
+        return front.transform(df.select(text_col, label.cast("double").alias("_label", metadata=classes))).select("_label", "_features").persist()
+
+    data = featured(train, F.when(F.col(label_col).isin(0, 1), F.col(label_col)).otherwise(F.raise_error(F.lit("labels are 0 and 1"))))
+    held = featured(validation, F.col(label_col))
     history: list[dict] = []
     best: tuple[float, PipelineModel] | None = None
-    weights = None
+    fitted: LogisticRegressionModel | None = None
     try:
         for epoch in range(1, epochs + 1):
-            layer = MultilayerPerceptronClassifier(layers=[features, 2], featuresCol="_features", labelCol="_label", predictionCol="_prediction", probabilityCol="_probability", rawPredictionCol="_raw", maxIter=iterations, blockSize=max(batch_size, 1), seed=seed, solver="l-bfgs")
-            if weights is not None:
-                layer = layer.setInitialWeights(weights)
-            fitted: MultilayerPerceptronClassificationModel = layer.fit(data)
-            weights = fitted.weights
+            fitted = _layer(fitted, iterations).fit(data)
             model = PipelineModel([*front.stages, fitted])
-            model._text_col = text_col
+            model._text_col, model._max_length, model._vocabulary = text_col, max_length, vocabulary
             if out_dir:
-                model.write().overwrite().save(f"{out_dir}/epoch={epoch}")
-            row = evaluate(model, validation, label_col).asDict() | {"epoch": epoch}
+                save(model, f"{out_dir}/epoch={epoch}")
+            row = binary_metrics(fitted.transform(held).select(F.col("_label").alias("label"), F.col("_prediction").alias("pred"))).first().asDict() | {"epoch": epoch}
             history.append(row)
             log.info("epoch %d: %s", epoch, row)
             if best is None or row["f1"] > best[0]:
@@ -87,6 +133,7 @@ def fit(
                     break
     finally:
         data.unpersist()
+        held.unpersist()
     assert best is not None, "no epochs"
     return best[1], history
 
@@ -97,16 +144,33 @@ def evaluate(model: PipelineModel, df: DataFrame, label_col: str = "label"):
 
 
 def save(model: PipelineModel, path: str, **options) -> None:
-    """Model, tokenizer stages and options in one folder, replacing what was there."""
+    """Model, tokenizer stages, vocabulary and options in one folder, replacing what was there."""
     model.write().overwrite().save(path)
     spark = SparkSession.getActiveSession()
-    options |= {"text_col": getattr(model, "_text_col", "text")}
-    spark.createDataFrame([(json.dumps(options),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/options")
+    options |= {"text_col": getattr(model, "_text_col", "text"), "max_length": getattr(model, "_max_length", 256)}
+    vocabulary = getattr(model, "_vocabulary", None)
+    if vocabulary is not None:
+        save_vocabulary(spark, vocabulary, f"{path}/tokenizer")
+    spark.createDataFrame([(json.dumps(options | {"wordpiece": vocabulary is not None}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/options")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the session's file system has ``path``."""
+    context = spark.sparkContext
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(context._jsc.hadoopConfiguration()).exists(p)
 
 
 def load(spark: SparkSession, path: str) -> PipelineModel:
+    """A saved model; the folder of a training run stands for its best model."""
+    if not exists(spark, f"{path}/options") and exists(spark, f"{path}/best"):
+        path = f"{path}/best"
     model = PipelineModel.load(path)
-    model._text_col = json.loads(spark.read.text(f"{path}/options").first()[0])["text_col"]
+    options = json.loads(spark.read.text(f"{path}/options").first()[0])
+    model._text_col, model._max_length = options["text_col"], options["max_length"]
+    model._vocabulary = load_vocabulary(spark, f"{path}/tokenizer") if options["wordpiece"] else None
+    if model._vocabulary is not None:
+        _pieces(model._vocabulary, model._max_length)
     return model
 
 

@@ -108,3 +108,45 @@ def test_queries_train_with_the_defaults_of_fit(monkeypatch):
         with pytest.raises(Seen):
             query(None, "")
     assert given == [(5, 10, 4096, 2)] * 2
+
+
+def length_scorer(model, max_length):
+    """A scorer as ``--scorer`` names it."""
+    return lambda texts: np.array([[0.0, min(len(t), max_length) - 200.0] for t in texts])
+
+
+def test_predict_with_any_model(spark, tmp_path):
+    out = predict(spark, "any", "tests/fixtures/val.csv", out=str(tmp_path / "p"), scorer="tests.test_model:length_scorer", one_file=False)
+    assert all(r.pred == (len(r.text) > 200) for r in out.collect())
+
+
+def test_training_with_a_vocabulary_folder(spark, tmp_path):
+    from seqloom.functions.tokens import save_vocabulary
+
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789_=;"
+    save_vocabulary(spark, {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *["##" + c for c in letters]])}, str(tmp_path / "v"))
+    out = str(tmp_path / "m")
+    train(spark, "tests/fixtures/train.csv", "tests/fixtures/val.csv", model_name=str(tmp_path / "v"), out_dir=out, epochs=2, max_length=64, split_files=True)
+    got = predict(spark, out, "tests/fixtures/val.csv", out=str(tmp_path / "p"), max_length=64)  # the run's folder stands for its best model
+    assert got.columns == ["text", "label", "pred", "prob_abnormal"] and got.where("prob_abnormal between 0 and 1").count() == 2
+    again = load(spark, out)
+    assert len(again._vocabulary) == 4 + 2 * len(letters)
+    with pytest.raises(ValueError, match="max_length"):
+        predict(spark, out, "tests/fixtures/val.csv", out=str(tmp_path / "p"))
+    with pytest.raises(ValueError, match="unknown model"):
+        train(spark, "tests/fixtures/train.csv", "tests/fixtures/val.csv", model_name="none", out_dir=out)
+
+
+def test_rounds_start_from_the_last_weights(spark):
+    df = separable(spark, 300)
+    long = fit(df, df, epochs=1, iterations=40, features=256)[0].stages[-1].coefficientMatrix.toArray()
+    short = fit(df, df, epochs=4, iterations=1, features=256, patience=9)
+    first = fit(df, df, epochs=1, iterations=1, features=256)[0].stages[-1].coefficientMatrix.toArray()
+    assert short[1][-1]["f1"] >= short[1][0]["f1"]
+    assert np.abs(long - first).max() > 0
+
+
+def test_one_class_only(spark):
+    df = separable(spark).where("label = 0")
+    model, history = fit(df, df, epochs=2, features=64)
+    assert scored(model, df).where("pred = 0 and prob_abnormal < 0.5").count() == df.count() and history[0]["f1"] == 0
