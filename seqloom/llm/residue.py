@@ -17,7 +17,7 @@ from functools import lru_cache
 #: Letters of other scripts that look like Latin ones.
 _ALIKE = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТХІЈЅ", "aeopcyxijsdhqwABEKMHOPCTXIJS"))
 _CLEAN = {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"} | {ord(a): b for a, b in _ALIKE.items()}
-_UNCLEAN = re.compile("[" + "".join(map(chr, _CLEAN)) + "]")
+_UNCLEAN = frozenset(map(chr, _CLEAN))
 #: Strings that look like special tokens of tokenizers; ordinary text here.
 _SPECIAL = re.compile(r"(?=[<\[])(?:<\|?/?(?:s|unk|pad|mask|bos|eos|sep|cls|endoftext|startoftext|im_start|im_end|end|system|user|assistant|fim_\w+)\|>|</?(?:s|unk|pad|mask|bos|eos)>|\[/?(?:SEP|CLS|PAD|UNK|MASK|BOS|EOS|INST)\])")
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
@@ -221,7 +221,7 @@ def normal(text: str) -> str:
     if not text.isascii():
         if not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text)
-        if _UNCLEAN.search(text):
+        if not _UNCLEAN.isdisjoint(text):
             text = text.translate(_CLEAN)
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")

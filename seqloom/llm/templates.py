@@ -32,7 +32,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -106,16 +107,30 @@ def _hash(shape: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(shape)) - (1 << 63)
 
 
+@lru_cache(1 << 17)
+def _word(word: str) -> tuple[str, int]:
+    """A word in lower case and whether it names something: 0 no, 1 unless it starts a
+    sentence, 2 yes."""
+    if word[0] in "\x01\x02@" or _DIGIT.search(word):
+        return word.lower(), 2
+    return word.lower(), int(word[0].isupper() and not word.isupper())
+
+
 def _shape(piece: str, known: set[str]) -> list[str]:
     """Terms of a sentence in lower case, with one mark for each run of names, numbers,
     words of slug or title, and replaced places."""
     shape: list[str] = []
-    for i, w in enumerate(_TERM.findall(piece)):
-        low = w.lower()
-        if w[0] in "\x01\x02@" or low in known or i and w[0].isupper() and not w.isupper() or _DIGIT.search(low):
-            low = "#"
-        if low != "#" or not shape or shape[-1] != "#":
+    first, last = 1, ""
+    for w in _TERM.findall(piece):
+        low, names = _word(w)
+        if names > first or low in known:
+            if last != "#":
+                shape.append("#")
+            last = "#"
+        else:
             shape.append(low)
+            last = low
+        first = 0
     return shape
 
 
@@ -135,11 +150,19 @@ def _size(shape: list[str]) -> int:
     return sum((len(w) + 1) // 2 if "㐀" <= w[0] <= "鿿" else 1 for w in shape)
 
 
-def _profile(lines: list[str], slug: str, shapes: list[list[str]], known: set[str]) -> Profile:
-    terms = {w.lower() for x in lines for w in _WORD.findall(x)}
+def _body_shape(shapes: Iterable[list[str]]) -> int | None:
     flat = [w for s in shapes for w in s]
-    lexical = any(w != "#" for w in flat)
-    return Profile(len(terms), len(terms & known), bool(lines) and all(_FURNITURE.fullmatch(x) for x in lines), _hash(flat) if lexical else None)
+    return _hash(flat) if any(w != "#" for w in flat) else None
+
+
+def _compared(lines: list[str], known: set[str]) -> tuple[int, int]:
+    """Number of different words of the lines, and of those in slug or title."""
+    terms = {w.lower() for x in lines for w in _WORD.findall(x)}
+    return len(terms), len(terms & known)
+
+
+def _furniture(lines: list[str]) -> bool:
+    return bool(lines) and all(_FURNITURE.fullmatch(x) for x in lines)
 
 
 def _split(plain: str, slug: str) -> tuple[list[str], list[str], set[str]]:
@@ -153,7 +176,7 @@ def profile(plain: str, slug: str) -> Profile:
     """The comparison of a normalised text's body with slug and title. The shape is null
     for a body of names and numbers only."""
     _, body, known = _split(plain, slug)
-    return _profile(body, slug, [_shape(p, known) for p in R.pieces("\n".join(body))], known)
+    return Profile(*_compared(body, known), _furniture(body), _body_shape(_shape(p, known) for p in R.pieces("\n".join(body))))
 
 
 def _replaced(text: str, spans: list[tuple[int, int]], named: list[tuple[int, int]]) -> str:
@@ -172,17 +195,18 @@ def judge(text: str | None, slug: str, least_words: int = 12) -> Judgement:
     plain = R.normal(text)
     own = R.own_voice(plain)
     held, marks, named = R.hits(own)
-    found = R.pieces(own)
-    kind = {p: R.kind_of(" ".join(p.lower().split())) for p in dict.fromkeys(found)}
+    title, body, known = _split(own, slug)
+    found = R.pieces("\n".join(body))
+    kind = {p: R.kind_of(" ".join(p.lower().split())) for p in dict.fromkeys(R.pieces("\n".join(title)) + found)}
     kinds = [k for k, n in (("error", R.pages(plain, own)), ("placeholder", held), ("mark", marks)) if n]
     kinds += [k for k in dict.fromkeys(kind.values()) if k and k not in kinds]
-
-    title, body, known = _split(own, slug)
-    text_of = "\n".join(body)
     if held or marks or named:
-        text_of = "\n".join(_split(_replaced(own, held + marks, named), slug)[1])
-    shapes = {p: _shape(p, known) for p in dict.fromkeys(R.pieces(text_of))}
-    p = _profile(body, slug, list(shapes.values()), known)
+        found = R.pieces("\n".join(_split(_replaced(own, held + marks, named), slug)[1]))
+    shapes = {p: _shape(p, known) for p in dict.fromkeys(found)}
+    shell = False
+    if not kinds and _furniture(body):
+        terms, shared = _compared(body, known)
+        shell = terms <= least_words and not shared
 
     low: dict[int, int] = {}
     slots: tuple[list[int], list[int], list[int]] = ([], [], [])
@@ -206,7 +230,7 @@ def judge(text: str | None, slug: str, least_words: int = 12) -> Judgement:
             terms = _terms(shape)
             mismatched = bool(terms) and all(others[t] == 1 for t in terms)
             low[_hash(shape)] = MISMATCHED * mismatched | ANSWER * bool(kind.get(piece))
-    return Judgement(kinds, p.shape, not kinds and p.furniture and p.terms <= least_words and not p.shared, list(low), list(low.values()), alone, *slots)
+    return Judgement(kinds, _body_shape(shapes.values()), shell, list(low), list(low.values()), alone, *slots)
 
 
 _SCHEMA = "id long, host string, kinds array<string>, shape long, shell boolean, low array<long>, bits array<tinyint>, alone boolean, held array<long>, doubted array<long>, valued array<long>"
