@@ -43,7 +43,7 @@ def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
 
     This cuts the lineage: a lost executor costs at most the tasks that read the
     table again, and later passes read columns, not recomputed rows. The table is
-    deleted when the session's file system client closes."""
+    deleted when the driver ends, or by ``release``."""
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/seqloom-{spark.sparkContext.applicationId}"
     if folder not in _FOLDERS:
@@ -52,7 +52,16 @@ def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     path = f"{folder}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table of ``materialize`` before the driver ends, once all that was
+    computed from it is written."""
+    spark = table.sparkSession
+    _delete(spark._jvm, spark._jsc.hadoopConfiguration(), table._written)
 
 
 #: Estimated bytes up to which an input may be spread by a shuffle.

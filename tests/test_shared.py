@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from seqloom.plans import shared
-from seqloom.plans.shared import attach_groups, checked_broadcast, materialize, shared_dir, spread
+from seqloom.plans.shared import attach_groups, checked_broadcast, materialize, release, shared_dir, spread
 
 
 def test_materialize_keeps_rows_and_types(spark):
@@ -37,3 +37,13 @@ def test_only_small_inputs_are_spread(spark, monkeypatch):
     assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(shared, "SPREAD_BYTES", 10)
     assert spread(df).rdd.getNumPartitions() == 1
+
+
+def test_release_deletes_the_table(spark):
+    from pathlib import Path
+
+    table = materialize(spark.range(3))
+    path = Path(table._written.removeprefix("file:"))
+    assert table.count() == 3 and path.exists()
+    release(table)
+    assert not path.exists()
