@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.plans.shared import attach_groups, materialize
+from seqloom.plans.shared import attach_groups, materialize, release
 
 
 def _pointed(edges: DataFrame, total: int) -> DataFrame:
@@ -32,7 +32,10 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = materialize(_pointed(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small = _pointed(large, total)
+        last = edges
         edges = materialize(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        release(last)
+        release(large)
         before, state = state, _state(edges)
         if before == state:
             break

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from seqloom.llm import wordsets as W
 from seqloom.llm.nearcopies import fetched
 from seqloom.llm.words import flat_of
-from seqloom.plans.shared import attach_groups, materialize
+from seqloom.plans.shared import attach_groups, materialize, release
 
 EPS = 1e-9
 
@@ -135,6 +135,7 @@ class CrossSplit:
         left = F.greatest(F.col("ra") * F.sqrt(F.greatest(1 - F.col("nb"), F.lit(0.0))), F.col("rb") * F.sqrt(F.greatest(1 - F.col("na"), F.lit(0.0))))
         candidates = materialize(met.where(F.col("dot") + left >= threshold - 1e-4).select("a", "b"))
         self.links = materialize(self._exact(fetched(candidates, self.reps), freq, threshold, scheme, jaccard))
+        release(candidates)
 
     def _exact(self, pairs: DataFrame, freq: np.ndarray, threshold: float, scheme: str, jaccard: float | None) -> DataFrame:
         shared = pairs.sparkSession.sparkContext.broadcast(freq)

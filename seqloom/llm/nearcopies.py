@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from seqloom.llm import wordsets as W
 from seqloom.llm.components import components
 from seqloom.llm.words import flat_of
-from seqloom.plans.shared import BROADCAST_ROWS, attach_groups, materialize, rows_up_to
+from seqloom.plans.shared import BROADCAST_ROWS, attach_groups, materialize, release, rows_up_to
 
 
 def prefix_rows(reps: DataFrame, freq: np.ndarray, share: Fraction) -> DataFrame:
@@ -128,6 +128,7 @@ class NearCopies:
         candidates = materialize(met(self.reps, self.freq, self.threshold))
         #: (a, b, similarity): similar classes by their smallest identifiers.
         self.links = materialize(verified(fetched(candidates, self.reps), self.threshold))
+        release(candidates)
 
     def filtered(self) -> DataFrame:
         """(step, pairs): how many pairs of classes are left after each filter."""

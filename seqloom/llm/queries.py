@@ -72,6 +72,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return found_pairs(_across(spark, d).overlaps())
 
 
+def p6_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of equal word sets whose vectors of inverse frequencies are similar."""
+    cross = CrossSplit(table(spark, d, "sequences"), "seq_id", "text", split_side(F.col("split")), 0.9, scheme="idf")
+    return cross.links.select(F.col("a").alias("train_class"), F.col("b").alias("held_class"), F.round("cosine", 2).alias("cosine"))
+
+
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return report(_across(spark, d), table(spark, d, "sequences"), "seq_id")
 
@@ -107,7 +113,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(table(spark, d, "documents"), "doc_id", "text", "source", SLUG).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_terms, p3_found, p3_sample, p3_counts, p3_supply, p4_found, p4_groups, p4_filters, p6_found, p6_report, p7_ids, p8_found, p8_clean, p8_spans, p9_found, p9_evidence, p9_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_terms, p3_found, p3_sample, p3_counts, p3_supply, p4_found, p4_groups, p4_filters, p6_found, p6_report, p6_weighted, p7_ids, p8_found, p8_clean, p8_spans, p9_found, p9_evidence, p9_clean)}
 
 _WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
 _TERMS = f"""
@@ -156,6 +162,31 @@ _SIMILAR = r"""
   pairs AS (SELECT a.seq_id AS id_a, b.seq_id AS id_b FROM sized a JOIN sized b ON a.w = b.w AND a.seq_id < b.seq_id AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4
     GROUP BY a.seq_id, b.seq_id, a.n, b.n HAVING count(*) * 9 >= (a.n + b.n) * 4)""".replace("G)", r"'([0-9])[,'']([0-9]{3})([^0-9]|$)', '\1\2\3', 'g')")
 _CROSS = "(SELECT id_a, id_b FROM pairs JOIN sequences x ON x.seq_id = id_a JOIN sequences y ON y.seq_id = id_b WHERE (x.split = 'train' AND y.split IN ('validation', 'test')) OR (y.split = 'train' AND x.split IN ('validation', 'test')))"
+_WORDSETS = _SIMILAR.split("sizes AS")[0]
+_WEIGHTED = (
+    _WORDSETS
+    + """
+  sides AS (SELECT seq_id, CASE WHEN split = 'train' THEN 1 WHEN split IN ('validation', 'test') THEN 2 END AS side FROM sequences),
+  sets AS (SELECT seq_id, side, list_sort(list(w)) AS s FROM words JOIN sides USING (seq_id) WHERE side IS NOT NULL GROUP BY seq_id, side),
+  classes AS (SELECT min(seq_id) AS rep, bit_or(side) AS side, s FROM sets GROUP BY s),
+  entries AS (SELECT rep, side, unnest(s) AS w FROM classes),
+  weights AS (SELECT w, ln(1 + (SELECT count(*) FROM classes) / count(*)) AS x FROM entries GROUP BY w),
+  vectors AS (SELECT rep, side, w, x FROM entries JOIN weights USING (w)),
+  norms AS (SELECT rep, sqrt(sum(x * x)) AS norm FROM vectors GROUP BY rep),
+  dots AS (SELECT a.rep AS a, b.rep AS b, sum(a.x * b.x) AS dot FROM vectors a JOIN vectors b ON a.w = b.w AND a.rep <> b.rep AND a.side & 1 = 1 AND b.side & 2 = 2 GROUP BY a.rep, b.rep)
+  SELECT a AS train_class, b AS held_class, round(dot / (n.norm * m.norm), 2) AS cosine FROM dots JOIN norms n ON n.rep = a JOIN norms m ON m.rep = b WHERE dot / (n.norm * m.norm) >= 0.9 - 1e-9"""
+)
+_GROUPED_ROWS = (
+    _SIMILAR.replace("WITH plain", "WITH RECURSIVE plain", 1)
+    + """,
+  sets AS (SELECT seq_id, list_sort(list(w)) AS s FROM words GROUP BY seq_id),
+  classed AS (SELECT seq_id, min(seq_id) OVER (PARTITION BY s) AS class_id FROM sets),
+  edges AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+  reach AS (SELECT seq_id AS id, seq_id AS other FROM sets UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.other),
+  grouped AS (SELECT id, min(other) AS group_id FROM reach GROUP BY id),
+  linked AS (SELECT a, count(*) AS links FROM edges GROUP BY a)
+  SELECT c.seq_id, class_id, group_id, CAST(coalesce(links, 0) AS BIGINT) AS links FROM classed c JOIN grouped g ON g.id = c.seq_id LEFT JOIN linked l ON l.a = c.seq_id"""
+)
 
 SQL: dict[str, str] = {
     "p8_found": _P8,
@@ -165,6 +196,8 @@ SQL: dict[str, str] = {
     "p4_found": _SIMILAR + " SELECT id_a, id_b FROM pairs",
     "p6_found": _SIMILAR + f" SELECT id_a, id_b FROM {_CROSS}",
     "p6_report": _SIMILAR + f" SELECT h.split, h.source, count(*) AS pairs, count(DISTINCT h.seq_id) AS held_rows, count(*) FILTER (h.label = t.label) AS same_label FROM {_CROSS} p JOIN sequences h ON h.seq_id IN (id_a, id_b) AND h.split <> 'train' JOIN sequences t ON t.seq_id IN (id_a, id_b) AND t.split = 'train' GROUP BY h.split, h.source",
+    "p4_groups": _GROUPED_ROWS,
+    "p6_weighted": _WEIGHTED,
     "p2_terms": _TERMS,
     "p2_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p3_supply": _SUPPLY,
