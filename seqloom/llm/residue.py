@@ -1,7 +1,7 @@
 """Detectors of problem 9: template residue, filler, error pages, script notices.
 
 A text is normalised (compatibility forms, invisible characters, look-alike letters),
-code and quotations are set aside as mentions, and what stands in the text's own voice
+code and quotations (of a few words, on one line) are set aside as mentions, and what stands in the text's own voice
 is searched: placeholders anywhere, filler, errors and notices where a whole line or
 sentence consists of them. A sentence that talks about such things has other words
 around them and doesn't match.
