@@ -114,9 +114,11 @@ class CrossSplit:
                 raise ValueError("a Jaccard bound needs binary weights")
             threshold = 2 * jaccard / (1 + jaccard)
         rows = df.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"), side.cast("int").alias("side")).where("side is not null")
-        self.sets = W.token_sets(rows, "id_", "text_", "side")
+        sets = materialize(W.token_sets(rows, "id_", "text_", "side"))  # the one pass over the texts
         key = F.unhex(F.md5("toks"))
-        self.reps = materialize(self.sets.groupBy("toks").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.expr("bit_or(side)").alias("side")).withColumn("key", key))
+        self.keyed = materialize(sets.select("id", "side", key.alias("key")))
+        self.reps = materialize(sets.groupBy("toks").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.expr("bit_or(side)").alias("side")).withColumn("key", key))
+        release(sets)
         self.total = self.reps.count()
         freq = W.sketch(self.reps)
         best = {s: max_weights(self.reps, s, freq, self.total, scheme) for s in (1, 2)}
@@ -168,8 +170,7 @@ class CrossSplit:
         wanted = classes.join(linked, "rep", "left_semi").unionByName(classes.where("side = 3").join(linked, "rep", "left_anti")).drop("side")
         groups = materialize(wanted)
         total = groups.agg(F.sum("copies")).first()[0] or 0
-        keyed = materialize(self.sets.select("id", "side", F.unhex(F.md5("toks")).alias("key")))
-        return attach_groups(keyed, groups, "key", "copies", total).select("id", "side", "rep")
+        return attach_groups(self.keyed, groups, "key", "copies", total).select("id", "side", "rep")
 
     def overlaps(self) -> DataFrame:
         """(train, held): all pairs of a training and an evaluation row, copies expanded."""

@@ -121,9 +121,11 @@ class NearCopies:
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8) -> None:
         self.threshold = Fraction(str(threshold))
-        self.sets = W.token_sets(df, id_col, text_col)
+        sets = materialize(W.token_sets(df, id_col, text_col))  # the one pass over the texts
+        self.keyed = materialize(sets.select("id", F.unhex(F.md5("toks")).alias("key")))
         #: (toks, rep, copies) of the classes; counted before the shuffle, so a hot class is one row a task.
-        self.reps = materialize(self.sets.groupBy("toks").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+        self.reps = materialize(sets.groupBy("toks").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+        release(sets)
         self.freq = W.sketch(self.reps)
         candidates = materialize(met(self.reps, self.freq, self.threshold))
         #: (a, b, similarity): similar classes by their smallest identifiers.
@@ -140,11 +142,9 @@ class NearCopies:
 
     def members(self) -> DataFrame:
         """(id, rep): the rows of classes of two or more."""
-        key = F.unhex(F.md5("toks"))
         total = self.reps.agg(F.sum("copies")).first()[0] or 0
-        groups = materialize(self.reps.where("copies > 1").select(key.alias("key"), "rep", "copies"))
-        keyed = materialize(self.sets.select("id", key.alias("key")))
-        return attach_groups(keyed, groups, "key", "copies", total).select("id", "rep")
+        groups = materialize(self.reps.where("copies > 1").select(F.unhex(F.md5("toks")).alias("key"), "rep", "copies"))
+        return attach_groups(self.keyed, groups, "key", "copies", total).select("id", "rep")
 
     def groups(self) -> DataFrame:
         """(id, cls, grp, links) of every row with a word: its class and group by their
