@@ -8,8 +8,8 @@ bitmaps' union, and the document frequency is the union's cardinality.
 
 Results for odd input: rows with a null text are no records, blank texts are records
 without terms; an identifier that occurs twice is one record, whose occurrences add
-up; rows with a null identifier are left out, since a bitmap can't hold them; an
-empty table gives an empty result.
+up; rows with a null identifier are left out, since a bitmap can't hold them, unless
+each row is taken as a record; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -82,8 +82,10 @@ def _partial(texts: list[str], ids: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([terms, pa.array(blocks[head % len(blocks)] if len(head) else head), bitmaps, pa.array(sums), pa.array(cards)], ["term", "block", "bitmap", "occurrences", "card"])
 
 
-def term_bitmaps(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, block, bitmap, occurrences, card): the partitions' parts, not yet merged."""
+def term_bitmaps(df: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
+    """(term, block, bitmap, occurrences, card): the partitions' parts, not yet merged.
+    Without ``id_col`` each row is a record, under its number in the scan: for hashed or
+    sparse identifiers, whose blocks would hold few records each, and null ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str] = []
@@ -100,11 +102,12 @@ def term_bitmaps(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if texts:
             yield _partial(texts, np.concatenate(ids))
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    number = F.monotonically_increasing_id() if id_col is None else F.col(id_col).cast("long")
+    rows = df.where(F.col(text_col).isNotNull()).select(number.alias("id"), F.col(text_col).alias("text")).where("id is not null")
     return spread(rows).mapInArrow(run, "term string, block long, bitmap binary, occurrences long, card long")
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def term_counts(df: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
     """(term, records, occurrences): document frequency and occurrences of every term.
 
     A block's parts meet in one group, at most one row for each partition that holds
@@ -153,10 +156,11 @@ def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return sorted_parts.mapInArrow(merge, "term string, records long, occurrences long").groupBy("term").agg(F.sum("records").alias("records"), F.sum("occurrences").alias("occurrences"))
 
 
-def marked_terms(df: DataFrame, id_col: str, text_col: str, rare_below: int = 3, common_above: float = 0.3) -> DataFrame:
+def marked_terms(df: DataFrame, id_col: str | None, text_col: str, rare_below: int = 3, common_above: float = 0.3) -> DataFrame:
     """``term_counts`` with ``mark``: 'rare' in fewer than ``rare_below`` records,
     'common' in more than ``common_above`` of the records, else null; rows with a null
-    identifier are no records."""
-    records = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).count()
+    identifier are no records, unless ``id_col`` is None and each row is one."""
+    known = F.lit(True) if id_col is None else F.col(id_col).isNotNull()
+    records = df.where(known & F.col(text_col).isNotNull()).count()
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_above * records, "common")
     return term_counts(df, id_col, text_col).withColumn("mark", mark)

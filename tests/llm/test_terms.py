@@ -53,3 +53,15 @@ def test_marks_count_blank_records(spark, rows):
 
 def test_empty_table(spark):
     assert marked_terms(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
+
+
+def test_rows_as_records_keep_blocks_dense(spark):
+    """Sparse identifiers put each record into a block of its own, row numbers don't."""
+    from seqloom.llm.terms import term_bitmaps
+
+    data = [(None if i % 10 == 0 else i * 1_000_003, f"a b{i % 7}") for i in range(500)] + [(5, None)]
+    df = spark.createDataFrame(data, "seq_id long, text string").coalesce(2)
+    assert term_bitmaps(df, None, "text").count() <= 4 * 8 < term_bitmaps(df, "seq_id", "text").count()
+    got = {r.term: (r.records, r.occurrences, r["mark"]) for r in marked_terms(df, None, "text").collect()}
+    assert got["a"] == (500, 500, "common") and got["b0"] == (72, 72, None)
+    assert marked_terms(df, "seq_id", "text").where("term = 'a'").first().records == 450
