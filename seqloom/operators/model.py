@@ -16,10 +16,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, SQLTransformer
+from pyspark.ml.common import _py2java
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Matrices, Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +85,83 @@ def _layer(previous: LogisticRegressionModel | None, iterations: int) -> Logisti
     return layer
 
 
+def _sparse(vector: Column) -> tuple[Column, Column]:
+    """Indexes and values of a sparse vector, from its text ``(size,[i,…],[v,…])``."""
+    lists = F.regexp_extract_all(vector.cast("string"), F.lit(r"\[([^\]]*)\]"), F.lit(1))
+    numbers = lambda at, kind: F.transform(F.filter(F.split(F.get(lists, F.lit(at)), ","), lambda x: x != ""), lambda x: x.cast(kind))
+    return numbers(0, "int"), numbers(1, "double")
+
+
+#: Weights that one row carries when the tasks' weights are averaged.
+PART = 1 << 14
+
+
+class Minibatch:
+    """Minibatch training of the same layer: each task goes once through its rows in steps
+    of ``batch_size``, by adaptive gradient steps from the common weights, and the tasks'
+    weights are averaged by their rows. ``state`` holds the difference of the two outputs'
+    weights, the intercept last, and the sums of squared gradients behind them."""
+
+    def __init__(self, spark: SparkSession, features: int, batch_size: int, seed: int, rate: float = 0.3) -> None:
+        self.spark, self.features, self.batch_size, self.seed, self.rate = spark, features, max(batch_size, 1), seed, rate
+        self.state = np.zeros(2 * (features + 1))
+
+    def round(self, data: DataFrame, epoch: int) -> None:
+        """One epoch over ``data`` (_label, _features)."""
+        shared = self.spark.sparkContext.broadcast(self.state)
+        size, batch_size, rate, seed = self.features + 1, self.batch_size, self.rate, self.seed + epoch
+
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state, rows, pick = shared.value.copy(), 0, np.random.default_rng(seed)
+            w, squares = state[:size], state[size:]
+            for b in batches:
+                label = np.asarray(b.column("label"))
+                ends = np.asarray(b.column("i").offsets).astype(np.int64)
+                at, value = b.column("i").flatten().to_numpy(), b.column("v").flatten().to_numpy()
+                order = pick.permutation(len(label))
+                for k in range(0, len(label), batch_size):
+                    own = order[k : k + batch_size]
+                    spans = [np.arange(ends[r] - ends[0], ends[r + 1] - ends[0]) for r in own]
+                    lengths = np.array([len(x) for x in spans])
+                    flat = np.concatenate(spans)
+                    i, v, row = at[flat], value[flat], np.repeat(np.arange(len(own)), lengths)
+                    z = np.bincount(row, w[i] * v, len(own)) + w[-1]
+                    slip = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[own]) / len(own)
+                    where, back = np.unique(np.r_[i, size - 1], return_inverse=True)
+                    slope = np.bincount(back, np.r_[slip[row] * v, slip.sum()])
+                    squares[where] += slope * slope
+                    w[where] -= rate * slope / np.sqrt(squares[where] + 1e-12)
+                rows += len(label)
+            if rows:
+                parts = range(0, len(state), PART)
+                yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([rows] * len(parts), pa.int64()), pa.array([state[p : p + PART].tobytes() for p in parts], pa.binary())], ["part", "n", "w"])
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list] = {}
+            for b in batches:
+                for part, n, w in zip(*(c.to_pylist() for c in b.columns)):
+                    own = held.setdefault(part, [0, 0.0])
+                    own[0], own[1] = own[0] + n, own[1] + n * np.frombuffer(w)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([(w / n).tobytes() for n, w in held.values()], pa.binary())], ["part", "w"])
+
+        i, v = _sparse(F.col("_features"))
+        sent = data.select(F.col("_label").alias("label"), i.alias("i"), v.alias("v")).mapInArrow(train, "part long, n long, w binary")
+        for r in sent.repartition("part").mapInArrow(merge, "part long, w binary").collect():  # as many numbers as the state has
+            self.state[r["part"] : r["part"] + PART] = np.frombuffer(r["w"])
+
+    def model(self) -> LogisticRegressionModel:
+        """The weights as a model of Spark."""
+        w = self.state[: self.features + 1] / 2
+        jvm = self.spark._jvm
+        matrix = Matrices.dense(2, self.features, np.stack([-w[:-1], w[:-1]], 1).ravel())
+        java = jvm.org.apache.spark.ml.classification.LogisticRegressionModel("minibatch", _py2java(self.spark.sparkContext, matrix), _py2java(self.spark.sparkContext, Vectors.dense(-w[-1], w[-1])), 2, True)
+        model = LogisticRegressionModel(java)
+        model._resetUid("minibatch")
+        for setter, column in (("setFeaturesCol", "_features"), ("setPredictionCol", "_prediction"), ("setProbabilityCol", "_probability"), ("setRawPredictionCol", "_raw")):
+            getattr(model, setter)(column)
+        return model
+
+
 def fit(
     train: DataFrame,
     validation: DataFrame,
@@ -98,12 +178,13 @@ def fit(
     seed: int = 42,
     out_dir: str | None = None,
     vocabulary: dict[str, int] | None = None,
+    minibatch: bool = False,
 ) -> tuple[PipelineModel, list[dict]]:
     """The model of the best F1 (the earliest among equals) and the history of rounds.
 
     Training and validation texts are turned into features once. A round is ``iterations``
-    steps of L-BFGS, each over all rows, so ``batch_size`` and ``seed`` change nothing.
-    Labels other than 0 and 1 raise. Each round's model is kept in ``out_dir``/epoch=N."""
+    steps of L-BFGS, each over all rows, for which ``batch_size`` and ``seed`` change
+    nothing; with ``minibatch`` it is one pass in steps of ``batch_size`` rows. Labels other than 0 and 1 raise. Each round's model is kept in ``out_dir``/epoch=N."""
     front = _features(text_col, max_length, features, flags, vocabulary)
     classes = {"ml_attr": {"type": "nominal", "vals": ["0", "1"], "name": "_label"}}
 
@@ -115,9 +196,14 @@ def fit(
     history: list[dict] = []
     best: tuple[float, PipelineModel] | None = None
     fitted: LogisticRegressionModel | None = None
+    steps = Minibatch(train.sparkSession, features, batch_size, seed) if minibatch else None
     try:
         for epoch in range(1, epochs + 1):
-            fitted = _layer(fitted, iterations).fit(data)
+            if steps:
+                steps.round(data, epoch)
+                fitted = steps.model()
+            else:
+                fitted = _layer(fitted, iterations).fit(data)
             model = PipelineModel([*front.stages, fitted])
             model._text_col, model._max_length, model._vocabulary = text_col, max_length, vocabulary
             if out_dir:
