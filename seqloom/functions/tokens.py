@@ -53,7 +53,10 @@ def mask(ids: Column, pad: int = PAD) -> Column:
 def encoded(text: Column, max_length: int = 256, pad_to: int | None = None) -> Column:
     """input_ids of a text: hashed, truncated and, with ``pad_to``, padded."""
     ids = truncated(hashed_ids(words(F.coalesce(text, F.lit("")))), max_length)
-    return ids if pad_to is None else padded(ids, pad_to)
+    if pad_to is None:
+        return ids
+    # one use of the ids, so that they are computed once; none are longer than max_length
+    return F.slice(F.concat(ids, F.array_repeat(F.lit(PAD), pad_to)), 1, pad_to) if pad_to >= max_length else padded(ids, pad_to)
 
 
 #: The ranges of ideographs that stand alone as words, and the ASCII
@@ -62,6 +65,10 @@ IDEOGRAPHS = "\u4e00-\u9fff\u3400-\u4dbf\U00020000-\U0002a6df\U0002a700-\U0002b7
 SYMBOLS = "$+<=>^`|~"
 
 
+_ASCII_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]+")
+_ASCII_WORD = re.compile(r"[!-/:-@\[-`{-~]|[^\s!-/:-@\[-`{-~]+")
+
+
 @lru_cache(1)
 def _basic() -> tuple[re.Pattern, re.Pattern]:
     """Patterns of a basic word and of what is dropped before."""
@@ -81,11 +88,11 @@ def _basic() -> tuple[re.Pattern, re.Pattern]:
 def basic_words(text: str | None) -> list[str]:
     """Lower-case words without accents and control characters; every punctuation mark
     (the underscore, too) and every ideograph is a word of its own."""
-    word, dropped = _basic()
     text = (text or "").lower()
-    if not text.isascii():
-        text = unicodedata.normalize("NFD", text)
-    return word.findall(dropped.sub("", text))
+    if text.isascii():
+        return _ASCII_WORD.findall(_ASCII_CONTROL.sub("", text))
+    word, dropped = _basic()
+    return word.findall(dropped.sub("", unicodedata.normalize("NFD", text)))
 
 
 def basic_tokens(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,22 +47,31 @@ def _rest(words: Column) -> Column:
     return F.slice(words, F.lit(2), F.size(words))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _attrs(words: Column) -> Column:
     """The map of ``key=value`` words; of a key that comes twice the last value counts."""
-    pairs = F.transform(F.filter(words, lambda p: p.contains("=")), lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.substr(p, F.length(F.substring_index(p, "=", 1)) + 2).alias("value")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    back = F.reverse(pairs)  # the last value of a key comes first
-    last = F.transform(keys, lambda k: F.get(back, (F.array_position(F.transform(back, lambda p: p["key"]), k) - 1).cast("int"))["value"])
-    plain = F.map_from_arrays(F.transform(pairs, lambda p: p["key"]), F.transform(pairs, lambda p: p["value"]))
-    return F.when(F.size(keys) == F.size(pairs), plain).otherwise(F.map_from_arrays(keys, last))
+
+    def pair(word: Column) -> Column:
+        return _let(F.substring_index(word, "=", 1), lambda key: F.struct(key.alias("key"), F.substr(word, F.length(key) + 2).alias("value")))
+
+    def mapped(pairs: Column) -> Column:
+        keys = F.array_distinct(pairs["key"])
+        last = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]))
+        return F.when(F.size(keys) == F.size(pairs), F.map_from_entries(pairs)).otherwise(last)
+
+    return _let(F.transform(F.filter(words, lambda p: p.contains("=")), pair), mapped)
 
 
 def parsed(text: Column) -> Column:
     """array<struct<seq, op, attrs>> of ``OP key=value …; OP …``; null for null. Of a key
     that a step repeats, the last value counts."""
     trimmed = lambda s: F.regexp_replace(s, f"^{_SPACE}|{_SPACE}$", "")
-    step = lambda s, i: F.struct((i + 1).cast("int").alias("seq"), F.split(trimmed(s), _SPACE, 2)[0].alias("op"), _attrs(_rest(F.split(trimmed(s), _SPACE))).alias("attrs"))
-    return F.transform(F.split(_plain(text), ";"), step)
+    words = F.transform(F.split(_plain(text), ";"), lambda s: F.split(trimmed(s), _SPACE))
+    return F.transform(words, lambda w, i: F.struct((i + 1).cast("int").alias("seq"), F.get(w, F.lit(0)).alias("op"), _attrs(_rest(w)).alias("attrs")))
 
 
 def steps_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

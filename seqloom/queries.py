@@ -108,8 +108,8 @@ def attention_mask(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_records(spark: SparkSession, d: str) -> DataFrame:
-    ids = encoded(F.col("text"), 256, 256)
-    return labelled_text(spark, d).select("seq_id", ids.alias("input_ids"), mask(ids).alias("attention_mask"), F.col("label").alias("labels"))
+    rows = labelled_text(spark, d).select("seq_id", encoded(F.col("text"), 256, 256).alias("input_ids"), F.col("label").alias("labels"))
+    return rows.select("seq_id", "input_ids", mask(F.col("input_ids")).alias("attention_mask"), "labels")
 
 
 def token_lengths(spark: SparkSession, d: str) -> DataFrame:
