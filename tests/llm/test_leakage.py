@@ -97,3 +97,14 @@ def test_bytes_of_items_are_checked(spark, monkeypatch):
     for whole in (False, True):
         kept = [sorted(map(str, cleaned(d, i, "doc_id", "item_id", whole=whole, most=m).collect())) for m in (10**6, 0)]
         assert kept[0] == kept[1]
+
+
+def test_clashing_columns_and_empty_tables_beyond_the_bound(spark):
+    from pyspark.sql import functions as F
+
+    docs, items = fixture(6)
+    d, i = tables(spark, docs, items)
+    d, i = (x.withColumns({c: F.lit("clash") for c in ("id", "h", "gram", "first", "t1", "spans")}) for x in (d, i))
+    assert {tuple(r) for r in leaks(d, i, "doc_id", "item_id", most=3).collect()} == brute(docs, items)
+    assert cleaned(d, i, "doc_id", "item_id", most=3).count() == len(docs)
+    assert leaks(d.limit(0), i, "doc_id", "item_id", most=3).count() == cleaned(d.limit(0), i, "doc_id", "item_id", most=3).count() == 0

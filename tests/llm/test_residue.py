@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm.residue import evidence, normal
 from seqloom.llm.templates import by_evidence, judge, profile, residue, without_residue
@@ -161,3 +162,18 @@ def test_terms_are_compared_with_slug_title_and_other_sentences():
 @pytest.mark.parametrize("text", ["asdfasdfasdfasdf", "Title goes here --------"])
 def test_runs_of_keys_and_trailing_dashes(text):
     assert evidence(normal(text)).get("filler")
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    df = _documents(spark).withColumns({c: F.lit("clash") for c in ("shape", "low", "bits", "uid", "host", "slug", "claim", "kind")})
+    empty = df.limit(0)
+    assert residue(empty, "doc_id", "text", "source").count() == by_evidence(residue(empty, "doc_id", "text", "source")).count() == 0
+    for most in (100, 0):
+        assert without_residue(empty, "doc_id", "text", "source", most=most).count() == 0
+    assert {r.id for r in residue(df, "doc_id", "text", "source", ("host",)).collect()} == {0, 1, 2, 3, 4, 40, 52}
+
+
+def test_a_hot_host_and_a_hot_text_change_nothing(spark):
+    hot = [(1000 + i, "The gate is shut today", "hot") for i in range(400)] + [(2000 + i, "Fees rose on {{chain}} again.", "hot") for i in range(300)]
+    df = _documents(spark).unionByName(spark.createDataFrame(hot, "doc_id long, text string, source string"))
+    assert {r.id for r in residue(df, "doc_id", "text", "source").collect()} == {0, 1, 2, 3, 4, 40, 52, *range(2000, 2300)}
