@@ -162,7 +162,8 @@ NOTICES = [
     r"(?:el|la|le|l'|esta|este|cette|ce) ?[\w' ]{2,25} (?:no|ne) .{1,20} (?:sin|sans) .{0,12}(?:scripts?|java ?script|js)",
     r"(?:rechargez|recargue|recharge) (?:ensuite |después |luego )?(?:la|cette|esta) (?:page|página).*",
 ]
-_ANCHORED = {k: re.compile("|".join(f"(?:{p})" for p in v).replace(r"\1", r"(?P=again)").replace(r"([^\s]{2,6}[;,.]?)", r"(?P<again>[^\s]{2,6}[;,.]?)")) for k, v in (("filler", FILLER), ("error", ERRORS), ("notice", NOTICES))}
+_PARTS = {k: "|".join(f"(?:{p})" for p in v).replace(r"\1", r"(?P=again)").replace(r"([^\s]{2,6}[;,.]?)", r"(?P<again>[^\s]{2,6}[;,.]?)") for k, v in (("filler", FILLER), ("error", ERRORS), ("notice", NOTICES))}
+_ANCHORED = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PARTS.items()))
 _LOREM = re.compile(r"\b(?:lorem|ipsum)\b")
 _LOREM_NAMED = re.compile(r"\b(?:was|were|over|replaced|we|the)\b")
 #: Stems of the words of filler in the manner of "lorem ipsum", with the
@@ -212,6 +213,7 @@ _TRACE = re.compile(r"^[>\s]*(?:(?:unhandled|uncaught)\s(?:exception\s*:?\s*)?[\
 _SENTENCE = re.compile(r"\n+|(?<=[.!?。！？])\s+|(?<=[。！？])")
 #: What may stand before a sentence: list marks, quoting, times, names of chat speakers.
 _LEAD = re.compile(r"^(?:[>*#•·–—-]+\s*|\d{1,3}[.)]\s+|[A-Z]-\d+\s+|\[\d{1,2}:\d\d(?::\d\d)?\]\s*(?:[\w@]{2,30}:\s*)?)+")
+_LEADS = ">*#•·–—-["
 _PAUSE = " \t.!?。！？…:：;；,，*_|\"'“”„()[]»«-–—"
 
 
@@ -228,16 +230,29 @@ def normal(text: str) -> str:
     return _SPECIAL.sub("", text) if "<" in text or "[" in text else text
 
 
+#: What a mention starts with, a fence holds, a program trace and an error page name.
+_QUOTES = "`\"“„”「『«"
+_TRACE_HINTS = ("error", "exception", "failure", "warning", "notice", "traceback", "unhandled", "uncaught")
+
+
+def _unfenced(text: str) -> str:
+    return _FENCE.sub("\n", text) if "```" in text or "~~~" in text else text
+
+
 def own_voice(text: str) -> str:
     """The normalised text with code and quotations replaced by a mark of a mention."""
-    return _MENTION.sub(" \x00 ", _FENCE.sub("\n", text))
+    text = _unfenced(text)
+    return _MENTION.sub(" \x00 ", text) if any(c in text for c in _QUOTES) else text
 
 
 def pieces(text: str) -> list[str]:
     """Sentences and lines without list marks and final punctuation."""
     found = []
     for s in _SENTENCE.split(text):
-        s = _LEAD.sub("", s.strip()).strip(_PAUSE)
+        s = s.strip()
+        if s and (s[0] in _LEADS or s[1:2] == "-" or s[0].isdigit()):
+            s = _LEAD.sub("", s)
+        s = s.strip(_PAUSE)
         if s:
             found.append(s)
     return found
@@ -257,10 +272,8 @@ def kind_of(sentence: str) -> str | None:
     rest = _REFERENCE.sub("", sentence) if " id" in sentence else sentence  # a status line may stand before the message, a reference after it
     while head := _CODE.match(rest):
         rest = rest[head.end() :]
-    for kind, pattern in _ANCHORED.items():
-        if pattern.fullmatch(sentence) or rest and rest != sentence and pattern.fullmatch(rest):
-            return kind
-    return None
+    found = _ANCHORED.fullmatch(sentence) or (rest and rest != sentence and _ANCHORED.fullmatch(rest))
+    return found.lastgroup if found else None
 
 
 def hits(own: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
@@ -279,7 +292,13 @@ def hits(own: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[t
 
 def pages(plain: str, own: str) -> int:
     """Number of error pages and program traces in a normalised text."""
-    return len(_WHOLE.findall(_FENCE.sub("\n", plain))) + len(_TRACE.findall(own))
+    low = plain.lower()
+    n = 0
+    if "<html" in low or "{" in low:
+        n += len(_WHOLE.findall(_unfenced(plain)))
+    if any(h in low for h in _TRACE_HINTS):
+        n += len(_TRACE.findall(own))
+    return n
 
 
 def evidence(plain: str) -> dict[str, int]:
